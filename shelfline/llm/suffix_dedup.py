@@ -10,10 +10,12 @@ form a run, known by its anchor and by its whole content.
    A shard takes the blocks in order of id as new batches: a sorted array of the
    batch's suffix fingerprints is scanned against the levels of the family, then
    becomes a level itself, and levels of like size merge. A run found in an older
-   level lies in a smaller document throughout. An anchor that starts different
-   runs is mixed: its runs may still agree in part.
-2. Runs with a mixed anchor send each string, dealt out by its own hash, through
-   the same family.
+   level lies in a smaller document throughout. Other runs may
+   agree in part: a string holds, beside the anchor, half of what remains of its
+   length on one side of it. If different runs agree on the anchor with the bytes of
+   a side, that side is mixed.
+2. Strings of runs with a mixed side go, dealt out by their own hash, through the
+   same family.
 3. Each block joins the answers to its texts and cuts the strings found.
 
 Within a block equal fingerprints go out once, so a group of copies, however
@@ -21,6 +23,7 @@ large, costs a shard one entry a block.
 """
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,6 +39,8 @@ KMER = 16
 BLOCK_BYTES = 8 << 20
 STEP = 1 << 20
 LAST_ID = np.iinfo(np.int64).max
+#: Replies: an older batch has it; strings on the left or right of the anchor may be elsewhere.
+FOUND, LEFT, RIGHT = 1, 2, 4
 
 
 class SuffixFamily:
@@ -77,8 +82,8 @@ class Runs:
         ids = table["doc_id"]
         self.ids = ids.fill_null(LAST_ID).to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
         end = np.repeat(self.offsets[1:], np.diff(self.offsets))
-        lo, hi, tag, key = [], [], [], []
-        n, width = len(self.data), length - kmer + 1
+        lo, hi, tag, key, sides, anchors = [], [], [], [], [], []
+        n, width, half = len(self.data), length - kmer + 1, (length - kmer) // 2
         for at in range(0, n - length + 1, STEP):
             part = self.data[at : at + STEP + length - 1]
             s = K.prefix_hashes(part)
@@ -97,23 +102,32 @@ class Runs:
             shape = ((a - first) << 16 | (ends - first)).astype(np.uint64)
             key.append(K.mix(K.span_hash(s, first, ends + length) + shape * K.BASE))
             tag.append((grams[a] >> np.uint64(24)).astype(np.uint32))
+            right = np.where(a - ends <= half, K.span_hash(s, a, np.minimum(a + kmer + half, len(part))) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+            left = np.where(a - first > half, K.span_hash(s, np.maximum(a - half, 0), a + kmer) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+            sides.append((right << np.uint64(32)) | left)
+            anchors.append(a + at)
             lo.append(first + at)
             hi.append(ends + at)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.lo, self.hi, self.tag, self.key = cat(lo, np.int64), cat(hi, np.int64), cat(tag, np.uint32), cat(key, np.uint64)
+        self.sides, self.anchor = cat(sides, np.uint64), cat(anchors, np.int64)
         self.doc = np.searchsorted(self.offsets, self.lo, side="right") - 1
 
-    def strings(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and anchor tag of each string of some runs."""
-        count = self.hi[which] - self.lo[which] + 1
-        start = np.repeat(self.lo[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    def strings(self, code: np.ndarray, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, hash, anchor tag and run of each string on a mixed side."""
+        turn = self.anchor - (length - kmer) // 2  # strings that start here or later hold the right side
+        lo = np.where(code & LEFT, self.lo, np.maximum(self.lo, turn))
+        hi = np.where(code & RIGHT, self.hi, np.minimum(self.hi, turn - 1))
+        count = np.where(code > FOUND, np.maximum(hi - lo + 1, 0), 0)
+        which = np.repeat(np.arange(len(lo)), count)
+        start = lo[which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]
         out = np.empty(len(start), dtype=np.uint64)
         for at in range(0, len(self.data), STEP):
             a, b = np.searchsorted(start, [at, at + STEP])
             if a < b:
                 s = K.prefix_hashes(self.data[at : at + STEP + length - 1])
                 out[a:b] = K.span_hash(s, start[a:b] - at, start[a:b] - at + length)
-        return start, out, np.repeat(self.tag[which], count)
+        return start, out, self.tag[which], which
 
 
 class Shipment:
@@ -138,48 +152,55 @@ class Shipment:
         return pd.DataFrame({"shard": shards.astype("int64"), "block": np.int64(block), "entries": packed})
 
     def answers(self, replies: pa.Table, stage: int) -> np.ndarray:
-        """The reply to each entry; 1 also where a smaller document of the block has the content."""
+        """The reply to each entry; FOUND also where a smaller document of the block has the content."""
         got = np.zeros(len(self.key), dtype=np.uint8)
         for s, k, reply in zip(*(replies[c].to_pylist() for c in ("shard", "stage", "reply")), strict=True):
             if k == stage:
-                a, b = np.searchsorted(self.shard, [s, s + 1])
-                got[a:b] = np.unpackbits(np.frombuffer(reply, np.uint8))[: 2 * (b - a)].reshape(-1, 2) @ np.array([2, 1], np.uint8)
+                a, b = np.searchsorted(self.shard, np.array([s, s + 1], dtype=self.shard.dtype))
+                got[a:b] = np.frombuffer(zlib.decompress(reply), np.uint8)
         out = got[self.at]
-        out[self.older_here] = 1
+        out[self.older_here] = FOUND
         return out
 
 
-def _reply(block: int, shard: int, stage: int, code: np.ndarray) -> dict:
-    bits = np.unpackbits(code.astype(np.uint8)[:, None], axis=1)[:, 6:]
-    return {"block": block, "shard": shard, "stage": stage, "reply": np.packbits(bits).tobytes()}
-
-
 REPLY = "block long, shard long, stage int, reply binary"
 SHIPPED = "shard long, block long, entries binary"
 
 
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """Values other than 0 that occur twice or more."""
+    x = np.sort(x)
+    return np.unique(x[1:][(x[1:] == x[:-1]) & (x[1:] > 0)])
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 def _serve(key, table: pa.Table, stage: int) -> pa.Table:
-    """One shard: batches in order of block against the family. 1 an older batch has it, 2 its anchor is mixed."""
+    """One shard: batches in order of block against the family; at stage 1 also which sides are mixed."""
     shard = key[0].as_py()
+    kind = np.uint64 if stage == 1 else np.uint32
+    width = 8 + np.dtype(kind).itemsize
     rows = sorted(zip(table["block"].to_pylist(), table["entries"].to_pylist(), strict=True), key=lambda r: r[0])
-    family, replies, unpack = SuffixFamily(), [], lambda b: (np.frombuffer(b, np.uint64, len(b) // 12), np.frombuffer(b, np.uint32, len(b) // 12, len(b) // 12 * 8))
-    for block, packed in rows:
+    unpack = lambda b: (np.frombuffer(b, np.uint64, len(b) // width), np.frombuffer(b, kind, len(b) // width, len(b) // width * 8))
+    family, founds = SuffixFamily(), []
+    for _, packed in rows:
         k, t = unpack(packed)
         found = family.scan(k, t)
         family.add(k[~found], t[~found])
-        replies.append((block, found))
-    mixed = np.zeros(0, np.uint32)
-    if stage == 1 and family.levels:
-        tags = np.sort(np.concatenate([t for _, t in family.levels]))
-        mixed = np.unique(tags[1:][tags[1:] == tags[:-1]])
+        founds.append(found)
+    low = np.uint64(0xFFFFFFFF)
+    if stage == 1:
+        tags = np.concatenate([np.zeros(0, np.uint64), *(t for _, t in family.levels)])
+        left, right = _repeated(tags & low), _repeated(tags >> np.uint64(32))
     out = []
-    for (block, found), (_, packed) in zip(replies, rows, strict=True):
-        code = found.astype(np.uint8)
-        if len(mixed):
+    for (block, packed), found in zip(rows, founds, strict=True):
+        code = found * np.uint8(FOUND)
+        if stage == 1:
             t = unpack(packed)[1]
-            at = np.minimum(np.searchsorted(mixed, t), len(mixed) - 1)
-            code[~found & (mixed[at] == t)] = 2
-        out.append(_reply(block, shard, stage, code))
+            code |= ~found * (_among(t & low, left) * np.uint8(LEFT) | _among(t >> np.uint64(32), right) * np.uint8(RIGHT))
+        out.append({"block": block, "shard": shard, "stage": stage, "reply": zlib.compress(code.tobytes(), 1)})
     return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("stage", pa.int32()), ("reply", pa.binary())]))
 
 
@@ -221,13 +242,11 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     def runs_of(table):
         runs = Runs(_sorted_block(table), length, kmer)
-        return runs, Shipment(runs.key, runs.tag, runs.ids[runs.doc], K.mix(runs.tag.astype(np.uint64)) % shards)
+        return runs, Shipment(runs.key, runs.sides, runs.ids[runs.doc], K.mix(runs.tag.astype(np.uint64)) % shards)
 
     def strings_of(runs, code):
-        which = np.flatnonzero(code == 2)
-        start, key, tag = runs.strings(which, length)
-        doc = np.repeat(runs.ids[runs.doc[which]], runs.hi[which] - runs.lo[which] + 1)
-        return start, Shipment(key, tag, doc, key % shards)
+        start, key, tag, run = runs.strings(code, length, kmer)
+        return start, Shipment(key, tag, runs.ids[runs.doc[run]], key % shards)
 
     def send_runs(key, table):
         return _arrow(runs_of(table)[1].rows(key[0].as_py()))
@@ -241,9 +260,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         runs, shipment = runs_of(table)
         code = shipment.answers(replies, 1)
         start, strings = strings_of(runs, code)
-        hit = start[strings.answers(replies, 2) == 1]
+        hit = start[strings.answers(replies, 2) == FOUND]
         step = np.zeros(len(runs.data) + 1, dtype=np.int32)
-        whole = code == 1
+        whole = code == FOUND
         np.add.at(step, runs.lo[whole], 1)
         np.add.at(step, runs.hi[whole] + length, -1)
         np.add.at(step, hit, 1)
