@@ -76,7 +76,8 @@ def lines_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     col = pc.fill_null(pc.cast(column, pa.large_string()), "")
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.large_string())
-    return arrow_bytes(pc.binary_join_element_wise(pc.utf8_lower(col), "", "\n"))
+    ends = pa.repeat(pa.scalar("\n", pa.large_string()), len(col))
+    return arrow_bytes(pc.binary_join_element_wise(pc.utf8_lower(col), ends, pa.scalar("", pa.large_string())))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,9 +1,15 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
+from .language import op5_language_id
+from .pieces import op1_sentencepiece
+from .quality import op10_quality
 from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_language_id": op5_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
