@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
 from .language import op5_language_id
+from .minhash import op6_minhash_dedup
 from .pieces import op1_sentencepiece
 from .quality import op10_quality
 from .suffix_dedup import op4_suffix_dedup
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op10_quality": op10_quality,
 }
 
