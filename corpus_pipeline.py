@@ -3,8 +3,76 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from shelfline.llm.decontaminate import contamination
+from shelfline.llm.language import UNDETERMINED, fit_languages, identify
+from shelfline.llm.minhash import near_duplicates
+from shelfline.llm.pieces import decode, encode, load_model, model_path
+from shelfline.llm.shared import cut
+from shelfline.llm.suffix_dedup import suffix_dedup
+
+#: A document needs one language with at least this share.
+MAIN_SHARE = 0.5
+#: Ids that are broadcast to the documents at most; more of them are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among some; null ids stay."""
+    ids = cut(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a main language go; lang becomes the language found.
+
+    If no document has a language to learn from, all stay as they are.
+    """
+    model = fit_languages(docs)
+    if not model.languages:
+        return docs
+    found = docs.withColumn("_found", identify(spark, model, "text"))
+    kept = found.where((F.col("_found.lang") != UNDETERMINED) & (F.col("_found.score") >= MAIN_SHARE))
+    return kept.withColumn("lang", F.col("_found.lang")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest id stays."""
+    groups, _ = near_duplicates(docs)
+    return _without(docs, groups.where("doc_id <> group_id"))
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that an earlier document has go; documents left with nothing but white space go too.
+
+    Bytes of characters that were cut in two are dropped.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = suffix_dedup(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
+    out = out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document: doc_id, lang, source, n_pieces, ids, round_trip."""
+    model = load_model(model_path())
+    got = docs.withColumn("_ids", encode(spark, model, "text", n=1)["ids"]).withColumn("_back", decode(spark, model, "_ids"))
+    return got.select("doc_id", "lang", "source", F.size("_ids").cast("long").alias("n_pieces"), F.col("_ids").alias("ids"), (F.col("_back") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", repeat_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding and decoding", tokenize),
+]
 #: The stages' rows can't be had from SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 

@@ -37,7 +37,7 @@ LENGTH = 50
 KMER = 16
 #: Text of one block, and string positions that are worked on at once.
 BLOCK_BYTES = 8 << 20
-STEP = 1 << 20
+STEP = 1 << 19
 LAST_ID = np.iinfo(np.int64).max
 #: Replies: an older batch has it; strings on the left or right of the anchor may be elsewhere.
 FOUND, LEFT, RIGHT = 1, 2, 4
@@ -81,7 +81,7 @@ class Runs:
         self.data, self.offsets = K.arrow_bytes(table["text"])
         ids = table["doc_id"]
         self.ids = ids.fill_null(LAST_ID).to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
-        end = np.repeat(self.offsets[1:], np.diff(self.offsets))
+        n_docs = len(self.offsets) - 1
         lo, hi, tag, key, sides, anchors = [], [], [], [], [], []
         n, width, half = len(self.data), length - kmer + 1, (length - kmer) // 2
         for at in range(0, n - length + 1, STEP):
@@ -93,7 +93,10 @@ class Runs:
             packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
             anchor = (_sliding_min(packed, width) & low).astype(np.int64)
             here = np.arange(len(anchor))
-            fits = here + at + length <= end[at : at + len(anchor)]
+            d = np.searchsorted(self.offsets, [at, at + len(anchor) - 1], side="right") - 1
+            stops = np.minimum(self.offsets[d[0] + 1 : min(d[1] + 2, n_docs + 1)], at + len(anchor))
+            end = np.repeat(self.offsets[d[0] + 1 : d[0] + 1 + len(stops)], np.diff(np.concatenate([[at], stops])))
+            fits = here + at + length <= end
             same = np.zeros(len(anchor), dtype=bool)
             same[1:] = fits[1:] & fits[:-1] & (anchor[1:] == anchor[:-1])
             first = np.flatnonzero(fits & ~same)
@@ -212,9 +215,9 @@ def _sorted_block(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int, carry: list[str]) -> tuple[DataFrame, int]:
     """doc_id, text as bytes and block: ranges of ids with about block_bytes of text. Ids that are equal share a block."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     bounds = np.zeros(0, np.int64)
@@ -229,14 +232,16 @@ def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[
     return rows.withColumn("block", block_of(F.coalesce("doc_id", F.lit(LAST_ID)))), len(bounds) + 1
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kmer: int = KMER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256.
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kmer: int = KMER, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256, and the columns of `carry`.
 
+    With as_text, kept is a string, without the bytes of characters that were cut in two.
     Null text is empty. Texts shorter than `length` lose nothing. Rows with equal ids,
     or with a null id (which comes after all others), never remove each other's bytes.
     Other columns are not read. An empty table gives an empty result.
     """
-    rows, n = blocked(docs, doc_id, text, block_bytes)
+    carry = carry or []
+    rows, n = blocked(docs, doc_id, text, block_bytes, carry)
     rows = rows.repartition(n, "block")
     shards = np.uint64(n)
 
@@ -278,13 +283,17 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             left = runs.data[a:b] if not removed[i] else runs.data[a:b][~gone[a:b]]
             kept.append(left.tobytes())
             digest.append(hashlib.sha256(kept[-1]).hexdigest())
+            if as_text:
+                kept[-1] = kept[-1].decode("utf-8", "ignore")
         sizes = np.diff(runs.offsets)
-        return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array(digest, pa.string())})
+        return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.string() if as_text else pa.binary()), "kept_sha256": pa.array(digest, pa.string()), "carry": table["carry"].cast(pa.struct([f.with_nullable(True) for f in table["carry"].type]))})
 
     grouped = rows.groupBy("block")
     first = grouped.applyInArrow(send_runs, SHIPPED).groupBy("shard").applyInArrow(lambda k, t: _serve(k, t, 1), REPLY)
     second = grouped.cogroup(first.groupBy("block")).applyInArrow(send_strings, SHIPPED).groupBy("shard").applyInArrow(lambda k, t: _serve(k, t, 2), REPLY)
-    return grouped.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    kind = rows.schema["carry"].dataType.simpleString()
+    out = grouped.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string, carry {kind}")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *[F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
