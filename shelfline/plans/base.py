@@ -9,8 +9,10 @@ from ..sources.lines import STAR_SQL, star_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Decimals of money sums, and of everything else.
-MONEY, RATIO = 2, 6
+#: Decimals, where a query doesn't name its own.
+RATIO = 6
+#: Moves values off the ties of rounding, where sums in another order fall on either side.
+NUDGE = 1.000000000001
 
 
 def _digits(spec: str) -> dict[str, int]:
@@ -25,7 +27,7 @@ def register(name: str, build: Callable[[DataFrame], DataFrame] | None, sql: str
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = source(spark, sf_dir) if source else build(star_lines(spark, sf_dir))
         # adding 0.0 turns -0.0 into 0.0
-        return df.withColumns({c: F.round(F.col(c).cast("double"), d) + F.lit(0.0) for c, d in digits.items()}) if digits else df
+        return df.withColumns({c: F.round(F.col(c).cast("double") * NUDGE, d) + F.lit(0.0) for c, d in digits.items()}) if digits else df
 
     QUERIES[name] = run
     if sql is None:
@@ -33,5 +35,5 @@ def register(name: str, build: Callable[[DataFrame], DataFrame] | None, sql: str
     body = sql.strip()
     text = f"WITH {STAR_SQL}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"WITH {STAR_SQL} {body}"
     if digits:
-        text = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {d}) + 0.0 AS {c}' for c, d in digits.items())}) FROM ({text})"
+        text = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) * {NUDGE!r}, {d}) + 0.0 AS {c}' for c, d in digits.items())}) FROM ({text})"
     ORACLE_SQL[name] = text
