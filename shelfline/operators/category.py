@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import period_start, revenue
 
-ALL = W.partitionBy()
+
 
 
 def category_kpis(tx: DataFrame, n_periods: int = 8) -> DataFrame:
@@ -19,7 +19,7 @@ def category_kpis(tx: DataFrame, n_periods: int = 8) -> DataFrame:
     before = F.sum(F.when((F.col("w") < F.col("last")) & (F.col("w") >= F.col("first")), revenue()).otherwise(0.0))
     own = own.groupBy("category").agg(F.sum(revenue()).alias("revenue"), F.countDistinct("transaction_id").alias("transactions"), F.countDistinct("customer_id").alias("customers"), before.alias("_prior"))
     growth = F.when(F.col("_prior") != 0, (F.col("revenue") - F.col("_prior")) / F.col("_prior") * 100).otherwise(0.0)
-    return own.crossJoin(n).select("category", "revenue", "transactions", "customers", (F.col("transactions") / F.col("_n")).alias("penetration"), (F.col("revenue") / F.col("transactions")).alias("aov"), (F.col("revenue") / F.sum("revenue").over(ALL)).alias("revenue_share"), growth.alias("growth_pct"))
+    return own.crossJoin(n).select("category", "revenue", "transactions", "customers", (F.col("transactions") / F.col("_n")).alias("penetration"), (F.col("revenue") / F.col("transactions")).alias("aov"), (F.col("revenue") / F.sum("revenue").over(W.partitionBy())).alias("revenue_share"), growth.alias("growth_pct"))
 
 
 def category_role(share: Column, growth: Column) -> Column:
@@ -47,7 +47,7 @@ def assortment_efficiency(tx: DataFrame) -> DataFrame:
     """Share of revenue over share of products per category."""
     total = F.broadcast(tx.agg(F.countDistinct("stockcode").alias("_s")))
     own = tx.groupBy("category").agg(F.countDistinct("stockcode").alias("_k"), F.sum(revenue()).alias("total_revenue")).crossJoin(total)
-    own = own.select("category", (F.col("_k") / F.col("_s")).alias("sku_share"), (F.col("total_revenue") / F.sum("total_revenue").over(ALL)).alias("revenue_share"), "total_revenue")
+    own = own.select("category", (F.col("_k") / F.col("_s")).alias("sku_share"), (F.col("total_revenue") / F.sum("total_revenue").over(W.partitionBy())).alias("revenue_share"), "total_revenue")
     own = own.withColumn("efficiency_index", F.when(F.col("sku_share") > 0, F.col("revenue_share") / F.col("sku_share")).otherwise(0.0))
     return own.withColumn("efficiency_label", F.when(F.col("efficiency_index") > 1.1, "efficient").when(F.col("efficiency_index") < 0.9, "under_efficient").otherwise("balanced"))
 
@@ -62,7 +62,7 @@ def manager_scorecard(tx: DataFrame) -> DataFrame:
     w = W.partitionBy("category").orderBy(F.desc("y"))
     yoy = years.withColumns({"k": F.row_number().over(w), "before": F.lead("r").over(w)}).where("k = 1").select("category", F.when(F.col("before") > 0, (F.col("r") - F.col("before")) / F.col("before") * 100).alias("revenue_yoy_growth"))
     t = own.join(again, "category").join(yoy, "category")
-    return t.select("category", "total_revenue", "revenue_yoy_growth", (F.col("_t") / F.col("_b")).alias("basket_penetration"), "repeat_purchase_rate", (F.col("_k") / F.col("_s")).alias("sku_share"), (F.col("total_revenue") / F.sum("total_revenue").over(ALL)).alias("revenue_share"))
+    return t.select("category", "total_revenue", "revenue_yoy_growth", (F.col("_t") / F.col("_b")).alias("basket_penetration"), "repeat_purchase_rate", (F.col("_k") / F.col("_s")).alias("sku_share"), (F.col("total_revenue") / F.sum("total_revenue").over(W.partitionBy())).alias("revenue_share"))
 
 
 def growth_matrix(tx: DataFrame) -> DataFrame:

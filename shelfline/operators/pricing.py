@@ -9,7 +9,7 @@ from .basket import basket_penetration
 from .features import category_map
 from .performance import product_metrics
 
-ALL = W.partitionBy()
+
 
 
 def weekly_prices(tx: DataFrame) -> DataFrame:
@@ -65,10 +65,10 @@ def kvi_scores(tx: DataFrame, elasticity: DataFrame | None = None) -> DataFrame:
     z = F.lit(0.0)
     for c, w in KVI_WEIGHTS.items():
         x = F.coalesce(F.col(c), F.col("_m")) if c == "abs_elasticity" else F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        sd = F.stddev_pop(x).over(ALL)
-        z = z + w * (x - F.avg(x).over(ALL)) / F.when(sd > 0, sd).otherwise(1.0)
+        sd = F.stddev_pop(x).over(W.partitionBy())
+        z = z + w * (x - F.avg(x).over(W.partitionBy())) / F.when(sd > 0, sd).otherwise(1.0)
     t = t.withColumn("_z", z)
-    lo, hi = F.min("_z").over(ALL), F.max("_z").over(ALL)
+    lo, hi = F.min("_z").over(W.partitionBy()), F.max("_z").over(W.partitionBy())
     return t.select("stockcode", "category", F.when(hi > lo, (F.col("_z") - lo) / (hi - lo)).otherwise(0.5).alias("kvi_score"), "total_revenue", "basket_penetration", "trip_incidence", "abs_elasticity", "elasticity_status")
 
 
