@@ -3,6 +3,8 @@
 They see one Arrow column at a time; Spark deals the rows out and brings results together.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,3 +106,11 @@ def blocks(table: pa.Table, size_of: np.ndarray, most: int):
 
 def sizes(column: pa.ChunkedArray) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a reused worker does not keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -6,16 +6,17 @@ Viterbi pass keeps the best score from the start to each position. Backward A*
 search from the end then takes these as exact heuristics, so that complete
 segmentations come out in order of score. White space bounds every piece, so a
 text is a chain of such stretches, and its N best segmentations differ from the
-best one in at most N - 1 of them: those with the smallest loss.
+best one in at most N - 1 of them: those with the smallest loss. The Viterbi
+passes run over all different stretches of a batch at once; the search then runs
+over the stretches that can matter.
 
 Encoding follows the model file: a leading space is added, spaces become U+2581,
 and characters without a piece become byte pieces. A U+2581 in a text becomes
 byte pieces too, so that decoding gives every text back exactly.
 """
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from heapq import nsmallest
 
 import numpy as np
@@ -24,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
+from .shared import long_rows
+
 SPACE = "▁"
 SWAP = str.maketrans({" ": SPACE, SPACE: " "})
 #: Like the library's unigram lattice: characters without a piece cost this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Characters of text that are encoded at once, and stretches whose segmentations a worker remembers.
-STEP = 1 << 20
-REMEMBERED = 1 << 18
+#: Characters of text that are encoded at once.
+STEP = 1 << 18
 N_BEST = 4
 
 
@@ -45,10 +48,6 @@ class PieceModel:
     longest: int
     cuts_at_space: bool
     dummy_prefix: bool
-    memory: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"memory": {}}
 
 
 def load_model(path: str) -> PieceModel:
@@ -105,132 +104,291 @@ def n_best(model: PieceModel, s: str, n: int) -> list[tuple[float, list[int]]]:
     return done
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+
+
+class _Table:
+    """Pieces and their prefixes by hash, for looking up many substrings at once."""
+
+    def __init__(self, model: PieceModel):
+        prefixes = {t[:k] for t in model.scores for k in range(1, len(t) + 1)}
+        self.texts = sorted(prefixes)
+        self.ids = np.array([model.scores.get(t, (-1, 0.0))[0] for t in self.texts], dtype=np.int32)
+        self.score = np.array([model.scores.get(t, (-1, -np.inf))[1] for t in self.texts], dtype=np.float32)
+        lengths = np.array([len(t) for t in self.texts])
+        end = np.cumsum(lengths)
+        sums = code_sums(_codes(self.texts))
+        self.key = K.span_hash(sums, end - lengths, end)
+        first = (self.key >> np.uint64(42)).astype(np.int64)
+        self.one = np.zeros(1 << 22, dtype=np.int32)
+        self.one[first] = np.arange(len(self.texts))
+        rest = np.flatnonzero(self.one[first] != np.arange(len(self.texts)))
+        for bits in range(16, 24):  # those whose place was taken have a smaller table to themselves
+            second = (self.key[rest] & np.uint64((1 << bits) - 1)).astype(np.int64)
+            if len(np.unique(second)) == len(rest):
+                break
+        self.mask, self.two = np.uint64((1 << bits) - 1), np.zeros(1 << bits, dtype=np.int32)
+        self.two[second] = rest
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 if it is neither a piece nor a prefix of one."""
+        at = self.one[(h >> np.uint64(42)).astype(np.int64)]
+        miss = np.flatnonzero(self.key[at] != h)
+        if len(miss):
+            other = self.two[(h[miss] & self.mask).astype(np.int64)]
+            at[miss] = np.where(self.key[other] == h[miss], other, -1)
+        return at
+
+
+def code_sums(codes: np.ndarray) -> np.ndarray:
+    """As kernels.prefix_hashes, over code points."""
+    up, _ = K.powers(len(codes) + 1)
+    s = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(K.mix(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=s[1:])
+    return s
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then the same for the next."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Encoder:
-    """Encodes batches of texts, remembering the stretches it has met."""
+    """Encodes batches of texts: the Viterbi pass runs over all different stretches of a batch at once."""
 
     def __init__(self, model: PieceModel, n: int):
-        self.model, self.n = model, n
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if model.cuts_at_space else re.compile("(?s).+")
-        self._forget()
-
-    def _forget(self):
-        self.number: dict[str, int] = {}
-        self.found: list[list[tuple[float, list[int]]]] = []
-        self.score, self.loss, self.length = [], [], []
-
-    def _number(self, s: str) -> int:
-        k = self.number.get(s)
-        if k is None:
-            found = n_best(self.model, s, self.n)
-            k = self.number[s] = len(self.found)
-            self.found.append(found)
-            self.score.append(found[0][0])
-            self.loss.append(found[0][0] - found[1][0] if len(found) > 1 else np.inf)
-            self.length.append(len(found[0][1]))
-        return k
+        self.model, self.n, self.table = model, n, _Table(model)
+
+    def _stretches(self, codes: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+        """First position of each stretch."""
+        if not self.model.cuts_at_space:
+            return text_start
+        space, line = codes == ord(SPACE), codes == 10
+        cut = line.copy()
+        cut[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        cut[text_start] = True
+        return np.flatnonzero(cut)
+
+    def _edges(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and table row of the piece of each length that starts at each position within its stretch."""
+        n, longest = len(codes), self.model.longest
+        score = np.full((n, longest), -np.inf, dtype=np.float32)
+        row = np.full((n, longest), -1, dtype=np.int32)
+        sums = code_sums(codes)
+        alive = np.arange(n)
+        for k in range(1, longest + 1):
+            alive = alive[alive + k <= end[alive]]
+            found = self.table.find(K.span_hash(sums, alive, alive + k))
+            alive, found = alive[found >= 0], found[found >= 0]
+            score[alive, k - 1] = self.table.score[found]
+            row[alive, k - 1] = found
+        unknown = np.isneginf(score[:, 0])
+        score[unknown, 0] = self.model.unknown_score
+        row[unknown, 0] = -1
+        return score, row
+
+    def _viterbi(self, base: np.ndarray, size: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best score up to each position of each stretch (base are places in arrays with one place more per stretch), and the last piece's length.
+
+        Stretches come longest first, so those still running are a prefix."""
+        f = np.full(int(size.sum()) + len(size), -np.inf)
+        last = np.zeros(len(f), dtype=np.int8 if self.model.longest < 128 else np.int32)
+        f[base] = 0.0
+        char = base - np.arange(len(base))  # place of the first character in score
+        running = len(size) - np.searchsorted(size[::-1], np.arange(1, (size[0] if len(size) else 0) + 1))
+        for p, m in enumerate(running.tolist(), 1):
+            b, c = base[:m], char[:m]
+            top, best = np.full(m, -np.inf), np.ones(m, dtype=last.dtype)
+            for k in range(1, min(self.model.longest, p) + 1):
+                way = f[b + (p - k)] + score[c + (p - k), k - 1]
+                better = way > top
+                top = np.where(better, way, top)
+                best[better] = k
+            f[b + p] = top
+            last[b + p] = best
+        return f, last
+
+    def _losses(self, base, size, score, f, first, k) -> np.ndarray:
+        """What the second-best segmentation of each stretch costs: the least loss of an edge off the best path.
+
+        first and k are the places and lengths of the best path's pieces."""
+        longest = self.model.longest
+        g = np.full(len(f) + longest, -np.inf)
+        stop = base + size
+        g[stop] = 0.0
+        char = base - np.arange(len(base))
+        running = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
+        for p, m in enumerate(running.tolist(), 1):
+            b, c = stop[:m] - p, char[:m] + size[:m] - p
+            top = np.full(m, -np.inf)
+            for j in range(1, min(longest, p) + 1):
+                np.maximum(top, score[c, j - 1] + g[b + j], out=top)
+            g[b] = top
+        at = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)  # place of each character in f
+        most = np.full(len(at), -np.inf)
+        for j in range(1, longest + 1):
+            way = score[:, j - 1] + g[at + j]
+            way[first[k == j]] = -np.inf
+            np.maximum(most, way, out=most)
+        return f[stop] - np.maximum.reduceat(most + f[at], char)
+
 
     def encode(self, texts: list[str | None]):
         """Per text: ids of the best segmentation, its score, and the others as (score, edits)."""
-        if len(self.found) > REMEMBERED:
-            self._forget()
         prefix = SPACE if self.model.dummy_prefix else ""
-        known, number = self.number, self._number
-        rows = []
-        for t in texts:
-            found = self.stretch.findall(prefix + t.translate(SWAP)) if t else []
-            rows.append([known[s] if s in known else number(s) for s in found])
-        score, loss, length = np.array(self.score), np.array(self.loss), np.array(self.length, dtype=np.int64)
-        for row in rows:
-            ks = np.array(row, dtype=np.int64)
-            if not len(ks):
+        swapped = [prefix + (t.translate(SWAP) if SPACE in t else t.replace(" ", SPACE)) if t else "" for t in texts]
+        codes = _codes(swapped)
+        sizes = np.array([len(t) for t in swapped], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        if not len(codes):
+            yield from (([], 0.0, []) for _ in texts)
+            return
+        start = self._stretches(codes, (ends - sizes)[sizes > 0])
+        length = np.diff(np.append(start, len(codes)))
+        _, index, which = np.unique(K.span_hash(code_sums(codes), start, start + length), return_index=True, return_inverse=True)
+        order = np.argsort(-length[index], kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        which, size = place[which], length[index][order]
+        own = codes[_ranges(start[index][order], size)]
+        char = np.cumsum(size) - size
+        score, row = self._edges(own, np.repeat(char + size, size))
+        base = char + np.arange(len(size))
+        f, last = self._viterbi(base, size, score)
+        total = f[base + size]
+        # walk back: pieces of all stretches, from their ends
+        at, todo, walked = size.copy(), np.arange(len(size)), []
+        while len(todo):
+            k = last[base[todo] + at[todo]].astype(np.int64)
+            at[todo] -= k
+            walked.append((todo, char[todo] + at[todo], k))
+            todo = todo[at[todo] > 0]
+        owner, first, k = (np.concatenate(x) for x in zip(*walked, strict=True))
+        order = np.argsort(first, kind="stable")
+        owner, first, k = owner[order], first[order], k[order]
+        piece = row[first, k - 1]
+        ids = np.where(piece >= 0, self.table.ids[piece], -1)
+        lost = np.flatnonzero(piece < 0)
+        if len(lost):  # characters without a piece: their bytes
+            chars = own[first[lost]]
+            raw = [(SPACE if c == 32 else chr(c)).encode() for c in chars.tolist()]
+            count = np.ones(len(ids), dtype=np.int64)
+            count[lost] = [len(r) for r in raw]
+            begin = np.cumsum(count) - count
+            grown = np.repeat(ids, count)
+            grown[_ranges(begin[lost], count[lost])] = np.array(self.model.byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
+            ids, owner = grown, np.repeat(owner, count)
+        n_ids = np.bincount(owner, minlength=len(size))
+        id_start = np.cumsum(n_ids) - n_ids
+        out_ids = ids[_ranges(id_start[which], n_ids[which])].astype(np.int32)
+        out_count = n_ids[which]
+        first_stretch = np.searchsorted(start, ends - sizes)
+        last_stretch = np.searchsorted(start, ends)
+        id_ends = np.concatenate([[0], np.cumsum(out_count)])
+        sums = np.concatenate([[0.0], np.cumsum(total[which])])
+        losses = self._losses(base, size, score, f, first, k)[which] if self.n > 1 else None
+        for d in range(len(texts)):
+            a, b = first_stretch[d], last_stretch[d]
+            if a == b or not sizes[d]:
                 yield [], 0.0, []
                 continue
-            ids: list[int] = []
-            for k in row:
-                ids += self.found[k][0][1]
-            total = float(score[ks].sum())
-            lost = loss[ks]
-            if len(lost) > 4 * self.n:
-                bound = np.partition(lost, self.n - 1)[self.n - 1]
-                near = np.flatnonzero(lost <= bound) if np.isfinite(bound) else np.flatnonzero(np.isfinite(lost))
-            else:
-                near = np.flatnonzero(np.isfinite(lost))
-            near = sorted(nsmallest(self.n - 1, near.tolist(), key=lambda i: (lost[i], i)))
-            ways = [(0.0, ())]
-            for i in near:
-                options = self.found[row[i]]
-                ways = nsmallest(self.n, [(w + options[0][0] - o[0], path + ((i, j),) if j else path) for w, path in ways for j, o in enumerate(options)])
-            begin = np.cumsum(length[ks]) - length[ks]
-            yield ids, total, [(total - w, [(int(begin[i]), int(length[ks[i]]), self.found[row[i]][j][1]) for i, j in path]) for w, path in ways if path][: self.n - 1]
+            got, whole = out_ids[id_ends[a] : id_ends[b]], float(sums[b] - sums[a])
+            yield got, whole, self._others(a, b, whole, losses, which, length, start, codes, out_ids, id_ends) if self.n > 1 else []
+
+    def _others(self, a, b, whole, losses, which, length, start, codes, out_ids, id_ends):
+        """The next best segmentations of a text, from those of the stretches that lose least."""
+        own = losses[a:b]
+        few = self.n - 1
+        bound = np.partition(own, few - 1)[few - 1] if len(own) > few else np.inf
+        near = np.flatnonzero((own <= bound) & np.isfinite(own))
+        near = sorted(nsmallest(few, near.tolist(), key=lambda i: (own[i], i)))
+        ways, options = [(0.0, ())], {}
+        for i in near:
+            k = a + i
+            best = out_ids[id_ends[k] : id_ends[k + 1]].tolist()
+            s = codes[start[k] : start[k] + length[k]].tobytes().decode("utf-32-le")
+            found = n_best(self.model, s, self.n)
+            top = found[0][0]
+            options[i] = [(top, best), *[x for x in found if x[1] != best][:few]]
+            ways = nsmallest(self.n, [(w + top - o[0], path + ((i, j),) if j else path) for w, path in ways for j, o in enumerate(options[i])])
+        at = id_ends[a]
+        return [(whole - w, [(int(id_ends[a + i] - at), int(id_ends[a + i + 1] - id_ends[a + i]), options[i][j][1]) for i, j in path]) for w, path in ways if path][:few]
+
+
+class Decoder:
+    """Texts of lists of ids."""
+
+    def __init__(self, model: PieceModel):
+        raw = [b""] * (len(model.texts) + 1)
+        for t, (i, _) in model.scores.items():
+            raw[i] = t.replace(SPACE, " ").encode()
+        for b, i in enumerate(model.byte_ids):
+            raw[i] = bytes([b])
+        self.size = np.array([len(x) for x in raw])
+        self.start = np.cumsum(self.size) - self.size
+        self.store = np.frombuffer(b"".join(raw) or b"\0", dtype=np.uint8)
+        self.prefix = model.dummy_prefix
+
+    def text(self, ids: np.ndarray) -> str:
+        none = len(self.size) - 1
+        ids = np.where((ids < 0) | (ids >= none), none, ids).astype(np.int64)
+        text = self.store[_ranges(self.start[ids], self.size[ids])].tobytes().decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 EDITS = "array<struct<at:int,length:int,ids:array<int>>>"
-ENCODED = f"struct<ids:array<int>,score:double,others:array<struct<score:double,edits:{EDITS}>>>"
-_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("others", pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))])))])
+ENCODED = f"struct<ids:array<int>,score:double,others:array<struct<score:double,edits:{EDITS}>>,round_trip:boolean>"
+_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("others", pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))), ("round_trip", pa.bool_())])
 _encoders: dict = {}
 
 
 def encode(spark: SparkSession, model: PieceModel, text: Column | str, n: int = N_BEST) -> Column:
-    """Column of struct (ids, score, others): the best segmentation and up to n - 1 more, best first.
+    """Column of struct (ids, score, others, round_trip): the best segmentation and up to n - 1 more, best first.
+
+    round_trip tells whether decoding the ids gave the text back.
 
     Each of `others` lists its differences from ids: at, length and the ids that stand there instead.
     Null and empty texts have no ids, score 0 and no others.
     """
+    long_rows(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(ENCODED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         key = (shared.value.unknown_score, len(shared.value.texts), n)
-        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(shared.value, n))
+        encoder, decoder = _encoders.get(key) or _encoders.setdefault(key, (Encoder(shared.value, n), Decoder(shared.value)))
         for column in batches:
-            parts, at = [], 0
-            ends = np.cumsum(np.array([len(x) if x else 1 for x in column.to_pylist()], dtype=np.int64))
-            while at < len(column):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP)))
-                ids, offsets, scores, others = [], [0], [], []
-                for got, score, rest in encoder.encode(column.slice(at, to - at).to_pylist()):
-                    ids.append(np.array(got, dtype=np.int32))
+            # parts of a batch go back one by one; Spark counts rows, not batches
+            for part in K.blocks(pa.table({"t": column}), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64), STEP):
+                ids, offsets, scores, others, back = [], [0], [], [], []
+                texts = part["t"].to_pylist()
+                for text, (got, score, rest) in zip(texts, encoder.encode(texts), strict=True):
+                    ids.append(np.asarray(got, dtype=np.int32))
+                    back.append(decoder.text(ids[-1]) == text)
                     offsets.append(offsets[-1] + len(got))
                     scores.append(score)
                     others.append([{"score": s, "edits": [{"at": a, "length": k, "ids": i} for a, k, i in e]} for s, e in rest])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                parts.append(pa.StructArray.from_arrays([listed, pa.array(scores, pa.float64()), pa.array(others, _ARROW.field("others").type)], fields=list(_ARROW)))
-                at = to
-            yield pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.StructArray.from_arrays([listed, pa.array(scores, pa.float64()), pa.array(others, _ARROW.field("others").type), pa.array(back, pa.bool_())], fields=list(_ARROW))
+            K.release()
 
     return run(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def decode(spark: SparkSession, model: PieceModel, ids: Column | str) -> Column:
     """Text of a column of ids; null for null. Ids outside the vocabulary and control pieces stand for nothing."""
-    raw = [b""] * len(model.texts)
-    for t, (i, _) in model.scores.items():
-        raw[i] = t.replace(SPACE, " ").encode()
-    for b, i in enumerate(model.byte_ids):
-        raw[i] = bytes([b])
-    shared = spark.sparkContext.broadcast((raw, model.dummy_prefix))
+    long_rows(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, prefix = shared.value
-        lengths = np.array([len(x) for x in pieces] + [0])
-        starts = np.cumsum(lengths) - lengths
-        store = np.frombuffer(b"".join(pieces) or b"\0", dtype=np.uint8)
+        decoder = Decoder(shared.value)
         for column in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
             flat = column.flatten()
-            ids = np.asarray(flat.fill_null(-1) if flat.null_count else flat).astype(np.int64)
-            ids[(ids < 0) | (ids >= len(pieces))] = len(pieces)
-            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            out, at = [], 0
-            for k, ok in zip(counts.tolist(), column.is_valid().to_pylist(), strict=True):
-                own = ids[at : at + k]
-                at += k
-                size = lengths[own]
-                where = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                text = store[where].tobytes().decode("utf-8", "replace")
-                out.append((text[1:] if prefix and text.startswith(" ") else text) if ok else None)
-            yield pa.array(out, pa.string())
+            own = np.split(np.asarray(flat.fill_null(-1) if flat.null_count else flat), ends[:-1]) if len(ends) else []
+            yield pa.array([decoder.text(x) if ok else None for x, ok in zip(own, column.is_valid().to_pylist(), strict=True)], pa.string())
 
     return run(ids)
 
@@ -244,12 +402,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None)
     """Every document encoded and decoded again: ids, scores of the N best, and whether the text came back."""
     model = load_model(path or model_path())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = docs.withColumn("e", encode(spark, model, "text")).withColumn("back", decode(spark, model, "e.ids"))
+    got = docs.withColumn("e", encode(spark, model, "text"))
     return got.select(
         "doc_id",
         F.size("e.ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("e.ids", " "), 256).alias("ids_sha256"),
         F.concat(F.array("e.score"), F.transform("e.others", lambda o: o["score"])).alias("scores"),
         F.expr("transform(e.others, o -> transform(o.edits, d -> struct(d.at AS at, d.length AS length, d.ids AS ids)))").alias("edits"),
-        (F.col("back") == F.col("text")).alias("round_trip"),
+        F.col("e.round_trip").alias("round_trip"),
     )

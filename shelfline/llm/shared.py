@@ -17,6 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def long_rows(spark: SparkSession, most: int = 500) -> None:
+    """Lets Arrow batches hold `most` rows at most: documents are long, and Spark counts a batch's rows and not its bytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder."""
     shared_dir(df.sparkSession)

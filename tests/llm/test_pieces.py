@@ -39,6 +39,7 @@ def test_text_level_n_best():
     e = P.Encoder(model, 4)
     for t in ("the theing", "on on on", "a b\n  c", "thhe"):
         ids, score, others = next(iter(e.encode([t])))
+        ids = list(ids)
         want = P.n_best(model, P.SPACE + t.replace(" ", P.SPACE), 4)
         whole = [(score, ids)]
         for s, edits in others:
