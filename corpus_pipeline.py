@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.decontaminate import contamination
 from shelfline.llm.language import UNDETERMINED, fit_languages, identify
 from shelfline.llm.minhash import near_duplicates
-from shelfline.llm.pieces import decode, encode, load_model, model_path
+from shelfline.llm.pieces import encode, load_model, model_path
 from shelfline.llm.shared import cut
 from shelfline.llm.suffix_dedup import suffix_dedup
 
@@ -62,8 +62,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document: doc_id, lang, source, n_pieces, ids, round_trip."""
     model = load_model(model_path())
-    got = docs.withColumn("_ids", encode(spark, model, "text", n=1)["ids"]).withColumn("_back", decode(spark, model, "_ids"))
-    return got.select("doc_id", "lang", "source", F.size("_ids").cast("long").alias("n_pieces"), F.col("_ids").alias("ids"), (F.col("_back") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    got = docs.withColumn("_e", encode(spark, model, "text", n=1))
+    return got.select("doc_id", "lang", "source", F.size("_e.ids").cast("long").alias("n_pieces"), F.col("_e.ids").alias("ids"), F.col("_e.round_trip").alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

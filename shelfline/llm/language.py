@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import long_rows
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-STEP = 1 << 20
+STEP = 1 << 18
 #: EM rounds over all languages, and after each drop, when the shares are nearly right already.
 ROUNDS, AGAIN = 8, 4
 PENALTY = 0.5
@@ -86,6 +87,7 @@ def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang") -> La
             yield part, np.array(names[at : at + len(part)], dtype=object).astype(str)
             at += len(part)
 
+    long_rows(rows.sparkSession)
     known = rows.select(F.col(text).cast("string"), F.col(lang).cast("string")).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     got = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique())
@@ -141,6 +143,7 @@ def identify(spark: SparkSession, model: LanguageModel, text: Column | str) -> C
 
     Null text and text without a letter are `und` with score 0 and no languages. Ties go to the name that sorts first.
     """
+    long_rows(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 
@@ -158,6 +161,7 @@ def identify(spark: SparkSession, model: LanguageModel, text: Column | str) -> C
                     k = int(s.argmax())
                     rows.append({"lang": m.languages[k], "score": min(1.0, float(s[k])), "languages": [{"lang": m.languages[j], "share": float(s[j])} for j in np.argsort(-s, kind="stable") if s[j] > 0]})
             yield pa.array(rows, kind)
+            K.release()
 
     return run(F.col(text).cast("string") if isinstance(text, str) else text)
 

@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .language import id_class
+from .shared import long_rows
 
 BUCKETS = 1 << 14
 FACTORS = 8
 MAX_ROWS = 6000
 EPOCHS = 12
-STEP = 1 << 20
+STEP = 1 << 19
 STATISTICS = 14
 
 
@@ -137,6 +138,7 @@ def _slices(column):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> FactorMachine:
     """Fits on at most max_rows labelled ids, lowest hash first; the mean of an id's labels counts, null labels don't."""
+    long_rows(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
@@ -158,6 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
 
 def score(spark: SparkSession, model: FactorMachine, text: Column | str) -> Column:
     """Probability of label 1, from 0 to 1; null text counts as empty, and empty texts get a score too."""
+    long_rows(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -165,6 +168,7 @@ def score(spark: SparkSession, model: FactorMachine, text: Column | str) -> Colu
         for column in batches:
             parts = [1 / (1 + np.exp(-np.clip(margin(shared.value, *features(part))[0], -40, 40))) for part in _slices(column)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            K.release()
 
     return run(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import long_rows
 
 LENGTH = 50
 KMER = 16
@@ -218,6 +219,7 @@ def _sorted_block(table: pa.Table) -> pa.Table:
 def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int, carry: list[str]) -> tuple[DataFrame, int]:
     """doc_id, text as bytes and block: ranges of ids with about block_bytes of text. Ids that are equal share a block."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.struct(F.lit(None).cast("int").alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carry"))
+    long_rows(docs.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     bounds = np.zeros(0, np.int64)
@@ -247,6 +249,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     def runs_of(table):
         runs = Runs(_sorted_block(table), length, kmer)
+        K.release()
         return runs, Shipment(runs.key, runs.sides, runs.ids[runs.doc], K.mix(runs.tag.astype(np.uint64)) % shards)
 
     def strings_of(runs, code):
