@@ -71,3 +71,21 @@ def growth_matrix(tx: DataFrame) -> DataFrame:
     m = F.broadcast(s.agg(F.percentile("revenue_share", 0.5).alias("_s"), F.percentile("revenue_yoy_growth", 0.5).alias("_g")))
     hi, up = F.col("revenue_share") >= F.col("_s"), F.col("revenue_yoy_growth") >= F.col("_g")
     return s.crossJoin(m).select("category", "revenue_share", F.col("revenue_yoy_growth").alias("growth_pct"), "total_revenue", F.when(hi & up, "star").when(hi, "cash_cow").when(up, "question_mark").otherwise("dog").alias("quadrant"))
+
+
+def category_baselines(tx: DataFrame, n_weeks: int = 12) -> DataFrame:
+    """Mean weekly revenue, units and orders of each category over its last n observed weeks."""
+    weeks = tx.groupBy("category", period_start("date", "W").alias("w")).agg(F.sum(revenue()).alias("r"), F.sum("quantity").alias("u"), F.countDistinct("transaction_id").alias("t"))
+    last = weeks.withColumn("k", F.row_number().over(W.partitionBy("category").orderBy(F.desc("w")))).where(F.col("k") <= n_weeks)
+    return last.groupBy("category").agg(F.avg("r").alias("baseline_revenue"), F.avg("u").alias("baseline_units"), F.avg("t").alias("baseline_orders"), F.count("*").alias("n_weeks"))
+
+
+def scenario_grid(tx: DataFrame, n_weeks: int = 12, uplift: float = 0.1, weeks: int = 13, band: float = 15.0) -> DataFrame:
+    """Three growth cases per category: the mean weekly growth of the last n weeks, and a deviation either side, clamped to the band and compounded."""
+    g = tx.groupBy("category", period_start("date", "W").alias("w")).agg(F.sum(revenue()).alias("r"))
+    w = W.partitionBy("category").orderBy("w")
+    g = g.withColumns({"growth": (F.col("r") / F.lag("r").over(w) - 1) * 100, "k": F.row_number().over(W.partitionBy("category").orderBy(F.desc("w")))}).where(F.col("k") <= n_weeks)
+    b = g.groupBy("category").agg(F.avg("r").alias("baseline_revenue"), F.avg("growth").alias("m"), F.stddev_samp("growth").alias("s"), F.count("*").alias("n")).where(F.col("n") >= n_weeks)
+    cases = F.array(*[F.struct(F.lit(name).alias("scenario"), x.alias("g")) for name, x in (("base", F.col("m")), ("optimistic", F.col("m") + F.col("s") * uplift), ("pessimistic", F.col("m") - F.col("s") * uplift))])
+    b = b.select("category", "baseline_revenue", F.explode(cases).alias("c")).select("category", "baseline_revenue", "c.scenario", F.greatest(F.lit(-band), F.least(F.lit(band), F.col("c.g"))).alias("weekly_growth_pct"))
+    return b.withColumn("projected_revenue", F.col("baseline_revenue") * F.pow(1 + F.col("weekly_growth_pct") / 100, F.lit(weeks)))

@@ -104,3 +104,25 @@ def node_delist_impact(tx: DataFrame, transference: DataFrame, clusters: DataFra
     flow = t.groupBy(F.col("from_node").alias("node_id")).agg(take(inside).alias("internal_recovery"), take(~inside).alias("external_leakage"))
     out = nodes.join(flow, "node_id", "left").fillna(0.0)
     return out.withColumn("node_sdp", F.when(F.col("total_node_revenue") > 0, F.col("internal_recovery") / F.col("total_node_revenue")))
+
+
+def event_slices(tx: DataFrame, events: DataFrame, pre_days: int = 30, post_days: int = 30) -> DataFrame:
+    """Lines in the days before, during and after each event (start_date, end_date), with `phase`; a line once per phase."""
+    day = lambda c, n: F.date_add(F.to_date(c), n)
+    spans = events.select(F.explode(F.array(
+        F.struct(F.lit("pre").alias("phase"), day("start_date", -pre_days).alias("_a"), day("start_date", -1).alias("_b")),
+        F.struct(F.lit("event").alias("phase"), day("start_date", 0).alias("_a"), day("end_date", 0).alias("_b")),
+        F.struct(F.lit("post").alias("phase"), day("end_date", 1).alias("_a"), day("end_date", post_days).alias("_b")),
+    )).alias("s")).select("s.*")
+    # spans become days, so that the join is on equal days and a day meets each phase once
+    days = spans.select("phase", F.explode(F.sequence("_a", "_b")).alias("_d")).distinct()
+    return tx.withColumn("_d", F.to_date("date")).join(days, "_d").drop("_d")
+
+
+def switching_by_phase(tx: DataFrame, events: DataFrame, lookup: DataFrame, **how) -> DataFrame:
+    """Category switching within each phase of the events."""
+    out = None
+    for phase in ("pre", "event", "post"):
+        own = category_switching(event_slices(tx, events).where(F.col("phase") == phase).drop("phase"), lookup, **how).withColumn("phase", F.lit(phase))
+        out = own if out is None else out.unionByName(own)
+    return out

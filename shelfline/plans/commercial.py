@@ -6,6 +6,8 @@ from ..operators import category as C
 from ..operators import pricing as P
 from ..operators import promo as M
 from ..operators import segments as S
+from ..operators import switching as W_
+from ..operators.features import category_map
 from .base import register
 from .shopping import CATS, R, WEEK
 
@@ -113,3 +115,19 @@ register("promo_cannibalization", lambda tx: M.cannibalization(prices(tx), found
 FROM pp JOIN cm ON cm.stockcode = pp.stockcode JOIN px ON px.category = cm.category AND px.stockcode <> pp.stockcode AND CAST(date AS DATE) BETWEEN start_date - duration_days AND end_date),
 g AS (SELECT promo_product, start_date, peer_product, category, coalesce(sum(r) FILTER (now), 0) AS promo_revenue, coalesce(sum(r) FILTER (NOT now), 0) AS base_revenue, count(DISTINCT transaction_id) FILTER (now) AS promo_orders, count(DISTINCT transaction_id) FILTER (NOT now) AS base_orders FROM j GROUP BY 1, 2, 3, 4)
 SELECT *, greatest(0, base_revenue - promo_revenue) AS cannibalized_revenue, least(1, greatest(0, base_revenue - promo_revenue) / base_revenue) AS cannibalization_index FROM g WHERE base_revenue >= 1""", "promo_revenue:2 base_revenue:2 cannibalized_revenue:2 cannibalization_index")
+
+BASE = f"wk AS (SELECT category, {WEEK} AS w, {R} AS r, sum(quantity) AS u, count(DISTINCT transaction_id) AS t FROM tx GROUP BY 1, 2), lk AS (SELECT *, (r / lag(r) OVER (PARTITION BY category ORDER BY w) - 1) * 100 AS growth, row_number() OVER (PARTITION BY category ORDER BY w DESC) AS k FROM wk)"
+register("category_baselines", C.category_baselines, f"WITH {BASE} SELECT category, avg(r) AS baseline_revenue, avg(u) AS baseline_units, avg(t) AS baseline_orders, count(*) AS n_weeks FROM lk WHERE k <= 12 GROUP BY 1", "baseline_revenue:4 baseline_units baseline_orders")
+register("scenario_grid", C.scenario_grid, f"""WITH {BASE}, b AS (SELECT category, avg(r) AS baseline_revenue, avg(growth) AS m, stddev_samp(growth) AS s FROM lk WHERE k <= 12 GROUP BY 1 HAVING count(*) >= 12),
+c AS (SELECT category, baseline_revenue, unnest(['base', 'optimistic', 'pessimistic']) AS scenario, unnest([m, m + s * 0.1, m - s * 0.1]) AS g FROM b), d AS (SELECT category, baseline_revenue, scenario, greatest(-15, least(15, g)) AS weekly_growth_pct FROM c)
+SELECT *, baseline_revenue * (1 + weekly_growth_pct / 100) ^ 13 AS projected_revenue FROM d""", "baseline_revenue:4 weekly_growth_pct projected_revenue:2")
+
+
+def _events(tx):
+    return tx.sparkSession.sql("SELECT DATE '1996-03-01' AS start_date, DATE '1996-03-20' AS end_date UNION ALL SELECT DATE '1997-07-01', DATE '1997-07-15'")
+
+
+register("event_slices", lambda tx: W_.event_slices(tx, _events(tx)).groupBy("phase", "category").agg(F.count("*").alias("lines")), """WITH e AS (SELECT * FROM (VALUES (DATE '1996-03-01', DATE '1996-03-20'), (DATE '1997-07-01', DATE '1997-07-15')) v(a, b)),
+s AS (SELECT 'pre' AS phase, a - 30 AS x, a - 1 AS y FROM e UNION ALL SELECT 'event', a, b FROM e UNION ALL SELECT 'post', b + 1, b + 30 FROM e)
+SELECT phase, category, count(*) AS lines FROM tx JOIN s ON CAST(date AS DATE) BETWEEN x AND y GROUP BY 1, 2""")
+register("switching_by_phase", lambda tx: W_.switching_by_phase(tx, _events(tx), category_map(tx), min_transactions=2), None)
