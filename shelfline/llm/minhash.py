@@ -11,13 +11,14 @@ cheap and their edits dear, and true copies fall below the threshold as the grou
    corpus and answer with the document frequencies.
 3. Each class is sampled BANDS x ROWS times; a shingle's chance is in proportion to its
    weight, so two samples agree with the probability of the weighted Jaccard similarity.
-   Classes that agree on a band share a bucket. In each bucket two leaders, the first
-   and the last in one of four orders, pair with every member.
-4. Pairs are verified by the exact weighted Jaccard similarity; links join classes into
-   groups by connected components.
-
-The chance that a pair of similarity 0.8 shares no bucket is under 0.001. A pair whose
-every bucket has more than three members and that no leader ties together could be missed too.
+   Classes that agree on a band share a bucket.
+4. Each class belongs to one cell, a part of its largest bucket. Two cells that meet in
+   a bucket are compared completely, member by member, by the exact weighted Jaccard
+   similarity, so all pairs that share a bucket are verified, each in one place. A pair of
+   cells sends on each member's number of links and what they join it to; connected
+   components make groups of that.
+
+The chance that a pair of similarity 0.8 shares no bucket, and so can be missed, is under 0.001.
 """
 
 import zlib
@@ -25,9 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from . import kernels as K
 from .shared import components, cut, long_rows
@@ -38,7 +38,8 @@ BANDS, ROWS = 14, 4
 IDF_GAIN = 0.1
 BLOCK_BYTES = 8 << 20
 STEP = 1 << 19
-ORDERS = 4
+#: Shingles of a cell, about; a document counts as SMALL shingles at least.
+CELL, SMALL = 1 << 17, 1 << 10
 #: Shingles that are sampled at once, so that the work stays in the processor's cache.
 TILE = 1 << 15
 _r = np.random.default_rng(20240229)
@@ -152,30 +153,87 @@ MAIL = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int6
 MAIL_SQL = "block long, kind int, shard long, doc_id long, data binary"
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two vectors: sorted 32-bit names, then as many 32-bit weights."""
-    n, m = len(a) // 8, len(b) // 8
-    i, j = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, m)
-    v, w = np.frombuffer(a, np.float32, n, 4 * n), np.frombuffer(b, np.float32, m, 4 * m)
-    if not n or not m:
-        return 0.0
-    at = np.minimum(np.searchsorted(j, i), m - 1)
-    both = j[at] == i
-    common = np.minimum(v[both], w[at[both]]).sum(dtype=np.float64)
-    return float(common / (v.sum(dtype=np.float64) + w.sum(dtype=np.float64) - common))
+def similar(vectors: list, left: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) with at least this weighted Jaccard similarity: of all vectors if left is 0, or else of one of the first `left` and one of the others.
 
+    A vector is sorted 32-bit names, then as many 32-bit weights.
+    """
+    size = np.array([len(v) // 8 for v in vectors])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    w = np.concatenate([np.frombuffer(v, np.float32, k, 4 * k) for v, k in zip(vectors, size.tolist(), strict=True)])
+    names, at = np.unique(np.concatenate([np.frombuffer(v, np.uint32, k) for v, k in zip(vectors, size.tolist(), strict=True)]), return_inverse=True)
+    total = np.add.reduceat(w, bounds[:-1], dtype=np.float64)
+    own = np.zeros(len(names), np.float32)
+    out = []
+    for i in range(left or len(size) - 1):
+        j, mine = left or i + 1, slice(bounds[i], bounds[i + 1])
+        own[at[mine]] = w[mine]
+        common = np.add.reduceat(np.minimum(own[at[bounds[j] :]], w[bounds[j] :]), bounds[j:-1] - bounds[j], dtype=np.float64)
+        own[at[mine]] = 0
+        got = common / (total[i] + total[j:] - common)
+        hit = np.flatnonzero(got >= threshold)
+        out.append((np.full(len(hit), i), hit + j, got[hit]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the first that links (i, j) connect it to."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, low[i])
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
+def _compare(threshold: float, as_links: bool):
+    """A function over rows (x, y, cell, doc_id, vector) in that order: links (a, b, similarity), or each linked member with one it is joined to and its number of links."""
+
+    def pair_of_cells(x: int, y: int, cells: np.ndarray, ids: np.ndarray, vectors: list) -> list[np.ndarray]:
+        left = 0 if x == y else int((cells == x).sum())
+        if len(ids) < 2 or (x != y and left in (0, len(ids))):
+            return []
+        i, j, s = similar(vectors, left, threshold)
+        if as_links:
+            return [np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), s]
+        n = np.bincount(np.concatenate([i, j]), minlength=len(ids))
+        some = n > 0
+        return [ids[some], ids[joined(len(ids), i, j)][some], n[some]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("a", "b", "similarity" if as_links else "n")
+        key, cells, ids, vectors = None, [], [], []
+
+        def done():
+            got = pair_of_cells(*key, np.concatenate(cells), np.concatenate(ids), vectors) if key else []
+            if got and len(got[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
+
+        for batch in batches:
+            x, y, cell, doc = (batch.column(k).to_numpy() for k in range(4))
+            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if key != (x[a], y[a]):
+                    yield from done()
+                    key, cells, ids, vectors = (x[a], y[a]), [], [], []
+                cells.append(cell[a:b])
+                ids.append(doc[a:b])
+                vectors.extend(v.as_buffer() for v in batch.column(4).slice(a, b - a))
+        yield from done()
+        K.release()
 
-@F.arrow_udf(DoubleType())
-def _similarity(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b in pairs:
-        yield pa.array([jaccard(x.as_buffer(), y.as_buffer()) for x, y in zip(a, b, strict=True)], pa.float64())
+    return run
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Groups (doc_id, group_id, copy_of, n_links), and links between class representatives (a, b, similarity).
 
     group_id is the smallest id of the group, copy_of the smallest id with the same words,
-    n_links the verified links of that text to different ones. Null text is empty. Texts without
+    n_links the verified links of that text to different ones, all of them. Null text is empty. Texts without
     words are copies only of texts with the same bytes. Of rows that share an id the first text in
     byte order counts and one row comes out; rows with a null id get none.
     Other columns are not read. An empty table gives empty results.
@@ -218,7 +276,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keys = band_keys(samples(b.h, log_w, bounds)).view(np.int64)
         ids = b.ids[has]
         K.release()
-        return pa.table({"doc_id": pa.array(np.repeat(ids, BANDS), pa.int64()), "band": pa.array(np.tile(np.arange(BANDS), len(ids)), pa.int32()), "bucket": pa.array(keys.ravel(), pa.int64())})
+        return pa.table({"doc_id": pa.array(np.repeat(ids, BANDS), pa.int64()), "size": pa.array(np.repeat(np.diff(bounds), BANDS), pa.int64()), "bucket": pa.array(keys.ravel(), pa.int64())})
 
     def vectors(key, table, mail):
         b = _Block(table, mail, n)
@@ -238,25 +296,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = letter(0, classes, "copy_of")
     replies = grouped.cogroup(leaders.groupBy("block")).applyInArrow(send, "shard long, block long, data binary").groupBy("shard").applyInArrow(count_shard, MAIL_SQL)
     known = leaders.unionByName(replies)
-    bands = grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, band int, bucket long")
-    place = F.struct(F.xxhash64("doc_id", F.col("band") % ORDERS).alias("p"), "doc_id")
-    buckets = bands.groupBy("bucket").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc_id <> last.doc_id")
-    pairs = (
-        bands.join(buckets, "bucket")
-        .select("doc_id", F.explode(F.array("first.doc_id", "last.doc_id")).alias("leader"))
-        .where("doc_id <> leader")
-        .select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-        .distinct()
-    )
-    wanted = letter(2, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
+    bands = grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, size long, bucket long")
+    bucket, of_doc = Window.partitionBy("bucket"), Window.partitionBy("doc_id")
+    met = bands.withColumn("members", F.count("*").over(bucket)).withColumn("weight", F.sum(F.greatest("size", F.lit(SMALL))).over(bucket))
+    met = met.where("members > 1 AND weight > 0")  # names both, so that all uses share one exchange of samples
+    home = F.max(F.struct("members", "bucket", "weight")).over(of_doc)
+    met = met.withColumn("home", home).select("doc_id", "bucket", F.xxhash64("home.bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.weight") / CELL))).alias("cell"))
+    cells = met.groupBy("bucket", F.col("cell").alias("other")).agg(F.count("*").alias("members"))
+    sent = met.join(cells, "bucket").where("cell <> other OR members > 1").select("doc_id", "cell", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y")).distinct()
+    wanted = letter(2, met.select("doc_id").distinct(), "doc_id")
     found = grouped.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(vectors, "doc_id long, vector binary")
-    side = lambda c, v: found.select(F.col("doc_id").alias(c), F.col("vector").alias(v))
-    verified = pairs.join(side("b", "vb"), "b").join(side("a", "va"), "a").select("a", "b", _similarity("va", "vb").alias("similarity"))
-    facts = cut(copies.select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("double").alias("similarity")).unionByName(verified.where(F.col("similarity") >= threshold)))
-    links = facts.where("similarity IS NOT NULL")
-    copies = facts.where("similarity IS NULL").select(F.col("b").alias("doc_id"), F.col("a").alias("copy_of"))
-    roots = components(links).withColumnRenamed("node", "copy_of")
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
+    dealt = sent.join(found, "doc_id").select("x", "y", "cell", "doc_id", "vector").repartition("x", "y").sortWithinPartitions("x", "y", "cell", "doc_id")
+    links = dealt.mapInArrow(_compare(threshold, True), "a long, b long, similarity double")
+    ties = dealt.mapInArrow(_compare(threshold, False), "a long, b long, n long")
+    facts = cut(copies.select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("n")).unionByName(ties))
+    ties = facts.where("n IS NOT NULL")
+    copies = facts.where("n IS NULL").select(F.col("b").alias("doc_id"), F.col("a").alias("copy_of"))
+    roots = components(ties).withColumnRenamed("node", "copy_of")
+    degree = ties.groupBy(F.col("a").alias("copy_of")).agg(F.sum("n").alias("n_links"))
     groups = copies.join(roots, "copy_of", "left").join(degree, "copy_of", "left")
     return groups.select("doc_id", F.coalesce("root", "copy_of").alias("group_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
 

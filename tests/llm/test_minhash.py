@@ -82,3 +82,30 @@ def test_samples_agree_as_jaccard():
 
 def test_empty(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+
+
+def star(n):
+    """One base document and n copies with edits of their own, each about 0.84 to the base and 0.71 to another copy."""
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(n // 2, " ".join(base))]
+    for d in [k for k in range(n + 1) if k != n // 2]:
+        t = list(base)
+        for k in r.sample(range(10, 290, 8), 5):
+            t[k] = f"own{d}x{k}"
+        rows.append((d, " ".join(t)))
+    return rows
+
+
+def test_all_links_of_a_star(spark, monkeypatch):
+    rows = star(200)
+    want, want_links = brute(rows)
+    assert len(set(want.values())) == 1 and len(want_links) < 2000
+    for cell in (M.CELL, 20 * M.SMALL):
+        monkeypatch.setattr(M, "CELL", cell)
+        groups, links = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        found = {(x.a, x.b) for x in links.collect()}
+        assert found <= want_links and len(found) >= 0.995 * len(want_links)
+        got = groups.collect()
+        assert sum(x.n_links for x in got) == 2 * len(found)
+        assert {x.doc_id: x.group_id for x in got} == want
