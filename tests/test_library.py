@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,21 @@ def test_clv(spark):
     assert {r.clv_segment for r in rows} <= {"Low", "Medium", "High", "Very High"}
 
 
+def test_gamma_gamma_uses_all_customers(spark):
+    r = np.random.default_rng(11)
+    x = r.integers(1, 6, 12000)
+    m = r.gamma(4.0 * x, 1 / (x * r.gamma(5.0, 1 / 60.0, len(x))))
+    rows = spark.createDataFrame(pd.DataFrame({"customer_id": np.arange(len(x)).astype(str), "frequency": x, "monetary_value": m}))
+
+    def loss(z):
+        p, q, v = np.exp(z)
+        like = V.lgamma(p * x + q) - V.lgamma(p * x) - math.lgamma(q) + q * np.log(v) + (p * x - 1) * np.log(m / m.mean()) + p * x * np.log(x) - (p * x + q) * np.log(x * m / m.mean() + v)
+        return float(-like.mean() + 0.001 * (np.exp(z) ** 2).sum() / 100)
+
+    p, q, v = np.exp(V.minimise(loss, np.zeros(3)))
+    assert np.allclose(V.fit_gamma_gamma(rows), [p, q, v * m.mean()], rtol=2e-3)
+
+
 def test_streams(spark, tmp_path):
     src = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
