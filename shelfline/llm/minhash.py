@@ -7,8 +7,8 @@ small on purpose: with plain idf a large group of near copies makes what they sh
 cheap and their edits dear, and true copies fall below the threshold as the group grows.
 
 1. Texts with the same words form one class, whose smallest id stands for it.
-2. Blocks of documents send each class's shingles to shards, which count them over the
-   corpus and answer with the document frequencies.
+2. Blocks of documents send each class's shingles and its number of documents to shards, which
+   add them up over the corpus and answer with the document frequencies.
 3. Each class is sampled BANDS x ROWS times; a shingle's chance is in proportion to its
    weight, so two samples agree with the probability of the weighted Jaccard similarity.
    Classes that agree on a band share a bucket.
@@ -16,7 +16,8 @@ cheap and their edits dear, and true copies fall below the threshold as the grou
    a bucket are compared completely, member by member, by the exact weighted Jaccard
    similarity, so all pairs that share a bucket are verified, each in one place. A pair of
    cells sends on each member's number of links and what they join it to; connected
-   components make groups of that.
+   components make groups of that. A member is sent once to each pair of cells it is in: a
+   bucket of m members is compared in m^2 / 2 steps, and sends m times its number of cells.
 
 The chance that a pair of similarity 0.8 shares no bucket, and so can be missed, is under 0.001.
 """
@@ -38,8 +39,8 @@ BANDS, ROWS = 14, 4
 IDF_GAIN = 0.1
 BLOCK_BYTES = 8 << 20
 STEP = 1 << 19
-#: Shingles of a cell, about; a document counts as SMALL shingles at least.
-CELL, SMALL = 1 << 17, 1 << 10
+#: Shingles of a cell, about, so that two cells fit in a task; a document adds OWN for its row.
+CELL, OWN = 1 << 17, 1 << 7
 #: Shingles that are sampled at once, so that the work stays in the processor's cache.
 TILE = 1 << 15
 _r = np.random.default_rng(20240229)
@@ -139,6 +140,9 @@ class _Block:
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         self.ids = self.table["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
         self.wanted = np.isin(self.ids, ids[kinds == 2])
+        named, many = ids[kinds == 0], mail["copies"].to_numpy(zero_copy_only=False)[kinds == 0]
+        by_id = np.argsort(named, kind="stable")
+        self.copies = np.repeat(many[by_id][np.searchsorted(named[by_id], self.ids)].astype(np.uint32), size)
         where = ((self.h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
         self.order = np.argsort(where, kind="stable")
         self.cuts = np.searchsorted(where[self.order], np.arange(shards + 1))
@@ -149,8 +153,8 @@ class _Block:
                 self.df[self.order[self.cuts[shard] : self.cuts[shard + 1]]] = 2 ** (np.frombuffer(zlib.decompress(data), np.uint8) / 8)
 
 
-MAIL = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
-MAIL_SQL = "block long, kind int, shard long, doc_id long, data binary"
+MAIL = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("data", pa.binary())])
+MAIL_SQL = "block long, kind int, shard long, doc_id long, copies long, data binary"
 
 
 def similar(vectors: list, left: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,17 +260,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def send(key, table, mail):
         b = _Block(table, mail, n)
-        low = b.low[b.order]
-        out = [(k, low[x:y].tobytes()) for k, (x, y) in enumerate(zip(b.cuts[:-1], b.cuts[1:], strict=True)) if y > x]
-        return pa.table({"shard": pa.array([k for k, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "data": pa.array([x for _, x in out], pa.binary())})
+        low, copies = b.low[b.order], b.copies[b.order]
+        out = [(k, low[x:y].tobytes(), zlib.compress(copies[x:y].tobytes(), 1)) for k, (x, y) in enumerate(zip(b.cuts[:-1], b.cuts[1:], strict=True)) if y > x]
+        return pa.table({"shard": pa.array([k for k, _, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "data": pa.array([x for _, x, _ in out], pa.binary()), "copies": pa.array([c for _, _, c in out], pa.binary())})
 
     def count_shard(key, table):
         blocks_, packed = table["block"].to_pylist(), table["data"].to_pylist()
         each = [np.frombuffer(x, np.uint32) for x in packed]
-        _, inverse, total = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        _, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in table["copies"].to_pylist()]))
         code = np.minimum(np.round(8 * np.log2(total)), 255).astype(np.uint8)[inverse]
         parts = np.split(code, np.cumsum([len(x) for x in each])[:-1])
-        return pa.table([pa.array(blocks_, pa.int64()), pa.array([1] * len(parts), pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], schema=MAIL)
+        return pa.table([pa.array(blocks_, pa.int64()), pa.array([1] * len(parts), pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], schema=MAIL)
 
     def sample(key, table, mail):
         b = _Block(table, mail, n)
@@ -290,21 +295,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": pa.array(b.ids[b.wanted], pa.int64()), "vector": pa.array(out, pa.binary())})
 
     keys = grouped.applyInArrow(name, "doc_id long, k1 long, k2 long")
-    classes = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"))
+    classes = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
     copies = keys.join(classes, ["k1", "k2"]).select("doc_id", "copy_of")
-    letter = lambda kind, df, c: df.select(block_of(c).alias("block"), F.lit(kind).cast("int").alias("kind"), F.lit(None).cast("long").alias("shard"), F.col(c).alias("doc_id"), F.lit(None).cast("binary").alias("data"))
-    leaders = letter(0, classes, "copy_of")
-    replies = grouped.cogroup(leaders.groupBy("block")).applyInArrow(send, "shard long, block long, data binary").groupBy("shard").applyInArrow(count_shard, MAIL_SQL)
+    letter = lambda kind, df, c, copies: df.select(block_of(c).alias("block"), F.lit(kind).cast("int").alias("kind"), F.lit(None).cast("long").alias("shard"), F.col(c).alias("doc_id"), copies.cast("long").alias("copies"), F.lit(None).cast("binary").alias("data"))
+    leaders = letter(0, classes, "copy_of", F.col("copies"))
+    replies = grouped.cogroup(leaders.groupBy("block")).applyInArrow(send, "shard long, block long, data binary, copies binary").groupBy("shard").applyInArrow(count_shard, MAIL_SQL)
     known = leaders.unionByName(replies)
     bands = grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, size long, bucket long")
     bucket, of_doc = Window.partitionBy("bucket"), Window.partitionBy("doc_id")
-    met = bands.withColumn("members", F.count("*").over(bucket)).withColumn("weight", F.sum(F.greatest("size", F.lit(SMALL))).over(bucket))
+    met = bands.withColumn("members", F.count("*").over(bucket)).withColumn("weight", F.sum(F.col("size") + OWN).over(bucket))
     met = met.where("members > 1 AND weight > 0")  # names both, so that all uses share one exchange of samples
     home = F.max(F.struct("members", "bucket", "weight")).over(of_doc)
     met = met.withColumn("home", home).select("doc_id", "bucket", F.xxhash64("home.bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.weight") / CELL))).alias("cell"))
     cells = met.groupBy("bucket", F.col("cell").alias("other")).agg(F.count("*").alias("members"))
     sent = met.join(cells, "bucket").where("cell <> other OR members > 1").select("doc_id", "cell", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y")).distinct()
-    wanted = letter(2, met.select("doc_id").distinct(), "doc_id")
+    wanted = letter(2, met.select("doc_id").distinct(), "doc_id", F.lit(None))
     found = grouped.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(vectors, "doc_id long, vector binary")
     dealt = sent.join(found, "doc_id").select("x", "y", "cell", "doc_id", "vector").repartition("x", "y").sortWithinPartitions("x", "y", "cell", "doc_id")
     links = dealt.mapInArrow(_compare(threshold, True), "a long, b long, similarity double")

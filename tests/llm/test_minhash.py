@@ -18,7 +18,7 @@ def brute(rows, threshold=0.8):
     for d in sorted(first):
         same.setdefault(tuple(words[d]) or ("raw", first[d]), []).append(d)
     shingles = {c[0]: collections.Counter(tuple(words[c[0]][i : i + 5]) for i in range(max(1, len(words[c[0]]) - 4))) for c in same.values() if words[c[0]]}
-    df = collections.Counter(s for x in shingles.values() for s in x)
+    df = collections.Counter(s for c in same.values() if c[0] in shingles for s in shingles[c[0]] for _ in c)
     n = len([1 for d, _ in rows if d is not None])
     weight = {d: {s: c * (1 + M.IDF_GAIN * math.log((n + 1) / (2 ** (round(8 * math.log2(df[s])) / 8) + 1)) / math.log(n + 1)) for s, c in x.items()} for d, x in shingles.items()}
     root = {d: d for d in first}
@@ -101,7 +101,7 @@ def test_all_links_of_a_star(spark, monkeypatch):
     rows = star(200)
     want, want_links = brute(rows)
     assert len(set(want.values())) == 1 and len(want_links) < 2000
-    for cell in (M.CELL, 20 * M.SMALL):
+    for cell in (M.CELL, 20 * 424):
         monkeypatch.setattr(M, "CELL", cell)
         groups, links = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
         found = {(x.a, x.b) for x in links.collect()}
