@@ -1,6 +1,10 @@
 import hashlib
 import random
+import zlib
 
+import numpy as np
+
+from shelfline.llm import suffix_dedup as S
 from shelfline.llm.suffix_dedup import suffix_dedup
 
 
@@ -44,3 +48,44 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_are_suffix_arrays(monkeypatch):
+    monkeypatch.setattr(S, "SLICE", 7)
+    r = random.Random(8)
+    for length in (3, 5):
+        family, older, d = S.SuffixFamily(length), {}, 0
+        for _ in range(30):
+            texts = []
+            for _ in range(r.randint(1, 6)):
+                d += r.randint(0, 1)
+                texts.append((d, bytes(r.choice(b"ab\x00") for _ in range(r.randint(length, 20)))))
+            data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+            ends = np.cumsum([len(t) for _, t in texts])
+            starts = np.concatenate([np.arange(e - len(t), e - length + 1) for e, (_, t) in zip(ends, texts)])
+            ids = np.concatenate([np.full(len(t) - length + 1, i) for i, t in texts])
+            strings = [data[a : a + length].tobytes() for a in starts]
+            for i, s in zip(ids.tolist(), strings):
+                older[s] = min(i, older.get(s, i))
+            assert family.take(data, starts, ids).tolist() == [older[s] < i for s, i in zip(strings, ids.tolist())]
+            held = []
+            for level in family.levels:
+                own = [level.text[a : a + length].tobytes() for a in level.starts]
+                assert own == sorted(set(own)) and [older[s] for s in own] == level.ids.tolist()
+                held += own
+            assert sorted(held) == sorted(older)
+            sizes = [len(x) for x in family.levels]
+            assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_equal_names_of_different_texts_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(S.K, "span_hash", lambda s, a, b: np.zeros(len(a), np.uint64) + np.uint64(1 << 40))
+    import pyarrow as pa
+
+    texts = [bytes([65 + i]) * 60 for i in range(3)] * 2
+    runs = S.Runs(pa.table({"doc_id": pa.array(range(6)), "text": pa.array(texts)}), 50, 16)
+    found = S._candidates(runs, pa.table({"shard": pa.array([], pa.int64()), "data": pa.array([], pa.binary())}), 1, 50, 16)
+    rows = S._send_strings(0, runs, found, 50).to_pylist()
+    spans = np.frombuffer(zlib.decompress(rows[0]["data"]), np.int64).reshape(-1, 2)
+    cut = {k for a, b in spans for k in range(a // 60, -(-b // 60))}
+    assert rows[0]["shard"] == -1 and cut <= {3, 4, 5}
