@@ -12,8 +12,6 @@ from shelfline.llm.pieces import encode, load_model, model_path
 from shelfline.llm.shared import cut
 from shelfline.llm.suffix_dedup import suffix_dedup
 
-#: A document needs one language with at least this share.
-MAIN_SHARE = 0.5
 #: Ids that are broadcast to the documents at most; more of them are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -25,7 +23,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a main language go; lang becomes the language found.
+    """Documents without a letter or without a language that explains them go; lang becomes the one with the largest share.
 
     If no document has a language to learn from, all stay as they are.
     """
@@ -33,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs
     found = docs.withColumn("_found", identify(spark, model, "text"))
-    kept = found.where((F.col("_found.lang") != UNDETERMINED) & (F.col("_found.score") >= MAIN_SHARE))
+    kept = found.where(F.col("_found.lang") != UNDETERMINED)
     return kept.withColumn("lang", F.col("_found.lang")).select(docs.columns)
 
 
@@ -60,10 +58,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: doc_id, lang, source, n_pieces, ids, round_trip."""
+    """Token ids of each document: doc_id, lang, source, n_pieces, ids, scores of the N best, the others' edits, round_trip."""
     model = load_model(model_path())
-    got = docs.withColumn("_e", encode(spark, model, "text", n=1))
-    return got.select("doc_id", "lang", "source", F.size("_e.ids").cast("long").alias("n_pieces"), F.col("_e.ids").alias("ids"), F.col("_e.round_trip").alias("round_trip"))
+    got = docs.withColumn("_e", encode(spark, model, "text"))
+    scores = F.concat(F.array("_e.score"), F.transform("_e.others", lambda o: o["score"]))
+    edits = F.transform("_e.others", lambda o: o["edits"])
+    return got.select(
+        "doc_id", "lang", "source", F.size("_e.ids").cast("long").alias("n_pieces"), F.col("_e.ids").alias("ids"), scores.alias("scores"), edits.alias("edits"), F.col("_e.round_trip").alias("round_trip"),
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
