@@ -12,12 +12,15 @@ cheap and their edits dear, and true copies fall below the threshold as the grou
 3. Each class is sampled BANDS x ROWS times; a shingle's chance is in proportion to its
    weight, so two samples agree with the probability of the weighted Jaccard similarity.
    Classes that agree on a band share a bucket.
-4. Each class belongs to one cell, a part of its largest bucket. Two cells that meet in
-   a bucket are compared completely, member by member, by the exact weighted Jaccard
-   similarity, so all pairs that share a bucket are verified, each in one place. A pair of
-   cells sends on each member's number of links and what they join it to; connected
-   components make groups of that. A member is sent once to each pair of cells it is in: a
-   bucket of m members is compared in m^2 / 2 steps, and sends m times its number of cells.
+4. Each bucket's members are compared with one of them, by the exact weighted Jaccard
+   similarity, and what is linked becomes a part (connected components). Then, in each
+   bucket with several parts, the members outside the largest part are compared with all
+   of the bucket, so that every pair that shares a bucket is either compared or already
+   connected. Components of all links are the groups, the same as from all pairs.
+
+A bucket is split into cells of CELL shingles: the few members outside the largest part go
+to every cell, the others to one. With every_link all members count as outside, and a bucket
+of m members sends m times its number of cells.
 
 The chance that a pair of similarity 0.8 shares no bucket, and so can be missed, is under 0.001.
 """
@@ -180,64 +183,56 @@ def similar(vectors: list, left: int, threshold: float) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the first that links (i, j) connect it to."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, low[i])
-        if np.array_equal(low, label):
-            return label
-        label = low
-
+def _compare(threshold: float, every: bool):
+    """A function over rows (x, i, j, right, part, doc_id, vector), in that order, that compares the members left and right of each (x, i, j): links (a, b, similarity).
 
-def _compare(threshold: float, as_links: bool):
-    """A function over rows (x, y, cell, doc_id, vector) in that order: links (a, b, similarity), or each linked member with one it is joined to and its number of links."""
+    Unless every link is asked for, a member gives one link to each part on the right.
+    """
 
-    def pair_of_cells(x: int, y: int, cells: np.ndarray, ids: np.ndarray, vectors: list) -> list[np.ndarray]:
-        left = 0 if x == y else int((cells == x).sum())
-        if len(ids) < 2 or (x != y and left in (0, len(ids))):
+    def pairs(right: np.ndarray, part: np.ndarray, ids: np.ndarray, vectors: list) -> list[np.ndarray]:
+        left = int((right == 0).sum())
+        if left in (0, len(ids)):
             return []
         i, j, s = similar(vectors, left, threshold)
-        if as_links:
-            return [np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), s]
-        n = np.bincount(np.concatenate([i, j]), minlength=len(ids))
-        some = n > 0
-        return [ids[some], ids[joined(len(ids), i, j)][some], n[some]]
+        some = np.flatnonzero((ids[i] != ids[j]) & (every | (part[i] != part[j])))
+        if not every:
+            _, first = np.unique(np.stack([i[some], part[j[some]]]), axis=1, return_index=True)
+            some = some[first]
+        a, b = ids[i[some]], ids[j[some]]
+        return [np.minimum(a, b), np.maximum(a, b), s[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("a", "b", "similarity" if as_links else "n")
-        key, cells, ids, vectors = None, [], [], []
+        key, columns, vectors = None, [], []
 
         def done():
-            got = pair_of_cells(*key, np.concatenate(cells), np.concatenate(ids), vectors) if key else []
+            got = pairs(*np.concatenate(columns, axis=1), vectors) if key else []
             if got and len(got[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=("a", "b", "similarity"))
 
         for batch in batches:
-            x, y, cell, doc = (batch.column(k).to_numpy() for k in range(4))
-            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            rest = np.stack([batch.column(k).to_numpy() for k in range(3, 6)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if key != (x[a], y[a]):
+                if key != tuple(keys[:, a].tolist()):
                     yield from done()
-                    key, cells, ids, vectors = (x[a], y[a]), [], [], []
-                cells.append(cell[a:b])
-                ids.append(doc[a:b])
-                vectors.extend(v.as_buffer() for v in batch.column(4).slice(a, b - a))
+                    key, columns, vectors = tuple(keys[:, a].tolist()), [], []
+                columns.append(rest[:, a:b])
+                vectors.extend(v.as_buffer() for v in batch.column(6).slice(a, b - a))
         yield from done()
         K.release()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Groups (doc_id, group_id, copy_of, n_links), and links between class representatives (a, b, similarity).
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Groups (doc_id, group_id, copy_of), and verified links between class representatives (a, b, similarity) that join the groups.
 
-    group_id is the smallest id of the group, copy_of the smallest id with the same words,
-    n_links the verified links of that text to different ones, all of them. Null text is empty. Texts without
+    group_id is the smallest id of the group, copy_of the smallest id with the same words. With
+    every_link the links are all there are, and groups have n_links, the number of those of that text.
+    Null text is empty. Texts without
     words are copies only of texts with the same bytes. Of rows that share an id the first text in
     byte order counts and one row comes out; rows with a null id get none.
     Other columns are not read. An empty table gives empty results.
@@ -294,33 +289,58 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         K.release()
         return pa.table({"doc_id": pa.array(b.ids[b.wanted], pa.int64()), "vector": pa.array(out, pa.binary())})
 
-    keys = grouped.applyInArrow(name, "doc_id long, k1 long, k2 long")
+    keys = cut(grouped.applyInArrow(name, "doc_id long, k1 long, k2 long"))
     classes = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
-    copies = keys.join(classes, ["k1", "k2"]).select("doc_id", "copy_of")
     letter = lambda kind, df, c, copies: df.select(block_of(c).alias("block"), F.lit(kind).cast("int").alias("kind"), F.lit(None).cast("long").alias("shard"), F.col(c).alias("doc_id"), copies.cast("long").alias("copies"), F.lit(None).cast("binary").alias("data"))
     leaders = letter(0, classes, "copy_of", F.col("copies"))
     replies = grouped.cogroup(leaders.groupBy("block")).applyInArrow(send, "shard long, block long, data binary, copies binary").groupBy("shard").applyInArrow(count_shard, MAIL_SQL)
-    known = leaders.unionByName(replies)
-    bands = grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, size long, bucket long")
-    bucket, of_doc = Window.partitionBy("bucket"), Window.partitionBy("doc_id")
-    met = bands.withColumn("members", F.count("*").over(bucket)).withColumn("weight", F.sum(F.col("size") + OWN).over(bucket))
-    met = met.where("members > 1 AND weight > 0")  # names both, so that all uses share one exchange of samples
-    home = F.max(F.struct("members", "bucket", "weight")).over(of_doc)
-    met = met.withColumn("home", home).select("doc_id", "bucket", F.xxhash64("home.bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("home.weight") / CELL))).alias("cell"))
-    cells = met.groupBy("bucket", F.col("cell").alias("other")).agg(F.count("*").alias("members"))
-    sent = met.join(cells, "bucket").where("cell <> other OR members > 1").select("doc_id", "cell", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y")).distinct()
+    known = leaders.unionByName(cut(replies))
+    bands = cut(grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, size long, bucket long"))
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    met = bands.join(buckets, "bucket")
     wanted = letter(2, met.select("doc_id").distinct(), "doc_id", F.lit(None))
-    found = grouped.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(vectors, "doc_id long, vector binary")
-    dealt = sent.join(found, "doc_id").select("x", "y", "cell", "doc_id", "vector").repartition("x", "y").sortWithinPartitions("x", "y", "cell", "doc_id")
-    links = dealt.mapInArrow(_compare(threshold, True), "a long, b long, similarity double")
-    ties = dealt.mapInArrow(_compare(threshold, False), "a long, b long, n long")
-    facts = cut(copies.select(F.col("copy_of").alias("a"), F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("n")).unionByName(ties))
-    ties = facts.where("n IS NOT NULL")
-    copies = facts.where("n IS NULL").select(F.col("b").alias("doc_id"), F.col("a").alias("copy_of"))
-    roots = components(ties).withColumnRenamed("node", "copy_of")
-    degree = ties.groupBy(F.col("a").alias("copy_of")).agg(F.sum("n").alias("n_links"))
-    groups = copies.join(roots, "copy_of", "left").join(degree, "copy_of", "left")
-    return groups.select("doc_id", F.coalesce("root", "copy_of").alias("group_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
+    found = cut(grouped.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(vectors, "doc_id long, vector binary"))
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Links between members left and right of the same (x, i, j)."""
+        names = ("x", "i", "j", "right", "part", "doc_id")
+        sent = left.withColumn("right", F.lit(0)).unionByName(right.withColumn("right", F.lit(1))).distinct().join(found, "doc_id")
+        dealt = sent.select(*[F.col(c).cast("long") for c in names], "vector").repartition("x", "i", "j").sortWithinPartitions(*names)
+        return cut(dealt.mapInArrow(_compare(threshold, every_link), "a long, b long, similarity double"))
+
+    zero = F.lit(0).cast("long")
+    part_of = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    upto = lambda n: F.explode(F.sequence(zero, n - 1))
+    if every_link:
+        star, own = None, met.withColumn("part", F.col("doc_id"))
+    else:
+        known_by = met.groupBy("doc_id").agg(F.sum("members").alias("known"))
+        chosen = met.join(known_by, "doc_id").groupBy("bucket").agg(F.max(F.struct("known", (-F.col("doc_id")).alias("minus"))).alias("best"), F.count("*").alias("n"), F.sum(F.col("size") + OWN).alias("weight"))
+        chosen = chosen.select("bucket", (-F.col("best.minus")).alias("x"), F.ceil(F.col("weight") / CELL).alias("cells"))
+        stars = met.join(chosen, "bucket").groupBy("x", "doc_id").agg(F.max("cells").alias("cells")).where("x <> doc_id")
+        stars = stars.select("x", part_of(F.col("cells")).alias("i"), zero.alias("j"), F.col("doc_id").alias("part"), "doc_id")
+        heads = stars.select("x", "i", "j").distinct().withColumns({"part": F.col("x"), "doc_id": F.col("x")})
+        star = compared(heads, stars)
+        own = met.join(components(star).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id"))
+    weigh = F.sum(F.col("size") + OWN).alias("weight")
+    parts = own.groupBy("bucket", "part").agg(weigh, F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "part", "weight"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("weight").alias("weight"), largest.alias("most")).where("parts > 1")
+    rest = F.lit(0) if every_link else F.col("most.weight")
+    mixed = mixed.select("bucket", F.col("most.part").alias("major"), F.ceil(F.col("weight") / CELL).alias("n_i"), F.ceil((F.col("weight") - rest) / CELL).alias("n_j"))
+    own = own.join(mixed, "bucket").select(F.col("bucket").alias("x"), "part", "doc_id", "major", "n_i", "n_j")
+    minor = own if every_link else own.where("part <> major")
+    left = minor.select("x", upto(F.col("n_i")).alias("i"), part_of(F.col("n_j")).alias("j"), "part", "doc_id")
+    right = own.select("x", part_of(F.col("n_i")).alias("i"), upto(F.col("n_j")).alias("j"), "part", "doc_id")
+    links = compared(left, right)
+    links = (links.unionByName(star) if star else links).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    copies = keys.join(classes, ["k1", "k2"]).select("doc_id", "copy_of")
+    roots = components(links).withColumnRenamed("node", "copy_of")
+    groups = copies.join(roots, "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("group_id"), "copy_of")
+    if every_link:
+        degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
+        groups = groups.join(degree, "copy_of", "left").select("doc_id", "group_id", "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return groups, links
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -103,9 +103,34 @@ def test_all_links_of_a_star(spark, monkeypatch):
     assert len(set(want.values())) == 1 and len(want_links) < 2000
     for cell in (M.CELL, 20 * 424):
         monkeypatch.setattr(M, "CELL", cell)
-        groups, links = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        groups, links = M.near_duplicates(df, every_link=True)
         found = {(x.a, x.b) for x in links.collect()}
         assert found <= want_links and len(found) >= 0.995 * len(want_links)
         got = groups.collect()
         assert sum(x.n_links for x in got) == 2 * len(found)
         assert {x.doc_id: x.group_id for x in got} == want
+        groups, links = M.near_duplicates(df)
+        assert {x.doc_id: x.group_id for x in groups.collect()} == want
+        assert {(x.a, x.b) for x in links.collect()} <= want_links
+
+
+def chains(n):
+    """Chains in which only neighbours are near, all of one large text with common stretches: no document is near to most others."""
+    r = random.Random(6)
+    base = [f"b{k}" for k in range(240)]
+    rows = []
+    for c in range(4):
+        t = list(base)
+        for d in range(n):
+            rows.append((1000 * c + 7 * d % n, " ".join(t)))
+            for k in r.sample(range(10, 230, 8), 3):
+                t[k] = f"own{c}x{d}x{k}"
+    return rows
+
+
+def test_groups_of_chains(spark, monkeypatch):
+    monkeypatch.setattr(M, "CELL", 4000)
+    rows = chains(30)
+    want, _ = brute(rows)
+    assert {x.doc_id: x.group_id for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()} == want
