@@ -4,8 +4,8 @@ A capture is written as three records: the request, the response (or a revisit,
 response has the same payload) and metadata; request and metadata name the response in
 WARC-Concurrent-To. Spark's text writer puts the records into gzip files, with the end mark of a
 record as its line separator; the payload's bytes pass through as they are. Reading takes each file
-in one task, record by record by Content-Length, and assembly joins the records of a transaction
-by their identifiers.
+in one task and decompresses it piece by piece, record by record by Content-Length, and assembly
+joins the records of a transaction by their identifiers. Popular payloads are dealt out by SALTS.
 """
 
 import base64
@@ -16,13 +16,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import cut, shared_dir
 
-#: Records in a file at most, so that a reading task's memory is bounded.
-RECORDS_PER_FILE = 24_000
+#: Records in a file at most, so that what a reading task holds, one compressed file, is bounded.
+RECORDS_PER_FILE = 6_000
+#: Parts that a popular payload's captures are dealt to in joins.
+SALTS = 16
+#: Bytes that are decompressed at once.
+PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_length long, digest_ok boolean, block string, payload binary"
@@ -44,15 +48,19 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", paylo
     """page_id, url, payload, payload_bytes, payload_digest, record_id, refers_to (null for a response).
 
     Of captures with equal payloads of at least smallest_revisit bytes the one with the smallest
-    page id (null last; ties by record id) is the response. Null payloads are empty.
+    page id (null last; ties by url, null first) is the response. Repeated rows are captures of their
+    own. Null payloads are empty.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
-    rows = rows.withColumn("record_id", _urn("response", F.col("page_id"), F.col("url"), F.col("payload_digest")))
-    rank = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "record_id")
-    first = rows.where(F.col("payload_bytes") >= smallest_revisit).groupBy("payload_digest").agg(F.min(rank)["record_id"].alias("first"))
-    joined = rows.join(first, "payload_digest", "left")
+    rank = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "url")
+    shared = rows.where(F.col("payload_bytes") >= smallest_revisit).groupBy("payload_digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    named = lambda page, url, number: _urn("response", page, url, F.col("payload_digest"), number)
+    shared = shared.select("payload_digest", named(F.col("first.page_id"), F.col("first.url"), F.lit(1)).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shared, ["payload_digest", "salt"], "left")
+    again = F.row_number().over(Window.partitionBy("payload_digest", "salt", "page_id", "url").orderBy("payload_bytes"))
+    joined = joined.withColumn("record_id", named(F.col("page_id"), F.col("url"), again))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_id", F.when(F.col("first") != F.col("record_id"), F.col("first")).alias("refers_to"))
 
 
@@ -86,17 +94,44 @@ def write_warc(found: DataFrame, path: str, records_per_file: int = RECORDS_PER_
     lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of an uncompressed WARC file. A record cut short ends the file."""
-    at = 0
+def pieces(content: bytes) -> Iterator[bytes]:
+    """A plain or gzip file, decompressed piece by piece; gzip members, of records or of whole files, follow one another."""
+    if content[:2] != b"\x1f\x8b":
+        for at in range(0, len(content), PIECE):
+            yield content[at : at + PIECE]
+        return
+    while content:
+        member, rest = zlib.decompressobj(wbits=31), content
+        while rest and not member.eof:
+            yield member.decompress(rest, PIECE)
+            rest = member.unconsumed_tail
+        content = member.unused_data
+
+
+def parse_records(parts: Iterator[bytes]) -> Iterator[dict]:
+    """Records of an uncompressed WARC file that comes in parts. A record cut short ends the file."""
+    held, at, parts = bytearray(), 0, iter(parts)
+
+    def more() -> bool:
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(part)
+        return True
+
     while True:
-        at = data.find(b"WARC/", at)
-        head_end = data.find(b"\r\n\r\n", at) if at >= 0 else -1
+        begin = held.find(b"WARC/", at)
+        head_end = held.find(b"\r\n\r\n", begin) if begin >= 0 else -1
         if head_end < 0:
-            return
+            if not more():
+                return
+            continue
         headers: dict[str, str] = {}
         name = None
-        for part in data[at:head_end].decode("utf-8", "replace").split(CRLF)[1:]:
+        for part in held[begin:head_end].decode("utf-8", "replace").split(CRLF)[1:]:
             if part[:1] in (" ", "\t") and name:
                 headers[name] += " " + part.strip()
             elif ":" in part:
@@ -104,26 +139,23 @@ def parse_records(data: bytes) -> Iterator[dict]:
                 name = name.strip().lower()
                 headers[name] = value.strip()
         size = headers.get("content-length", "")
-        begin = head_end + 4
-        if not re.fullmatch("[0-9]+", size) or begin + int(size) > len(data):
+        if not re.fullmatch("[0-9]+", size):
             return
-        yield headers | {"_block": data[begin : begin + int(size)]}
-        at = begin + int(size)
+        first = head_end + 4 - at
+        while len(held) - at < first + int(size):
+            if not more():
+                return
+        yield headers | {"_block": bytes(held[at + first : at + first + int(size)])}
+        at += first + int(size)
 
 
 def _rows(content: bytes, with_payload: bool) -> Iterator[dict]:
-    parts = []
-    if content[:2] == b"\x1f\x8b":
-        while content:  # one gzip member after another, as records or whole files
-            d = zlib.decompressobj(wbits=31)
-            parts.append(d.decompress(content))
-            content = d.unused_data
-    for r in parse_records(b"".join(parts) if parts else content):
+    for r in parse_records(pieces(content)):
         kind, block, digest = r.get("warc-type"), r["_block"], r.get("warc-payload-digest", "")
         row = {"type": kind, "record_id": r.get("warc-record-id"), "concurrent_to": r.get("warc-concurrent-to"), "refers_to": r.get("warc-refers-to"), "target_uri": r.get("warc-target-uri"), "payload_digest": digest.removeprefix("sha1:") or None, "payload_length": None, "digest_ok": None, "block": None, "payload": None}
         if kind == "response":
-            cut = block.find(b"\r\n\r\n")
-            body = block[cut + 4 :] if cut >= 0 and block.startswith(b"HTTP/") else block
+            end = block.find(b"\r\n\r\n")
+            body = block[end + 4 :] if end >= 0 and block.startswith(b"HTTP/") else block
             sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
             row |= {"payload_length": len(body), "digest_ok": sha == (row["payload_digest"] or sha), "payload_digest": sha, "payload": body if with_payload else None}
         else:
@@ -169,10 +201,24 @@ def assemble(records: DataFrame) -> DataFrame:
     return keyed.groupBy(F.col("key").alias("record_id")).agg(F.min("r").alias("response"), F.min("q").alias("request"), F.min("m").alias("metadata"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     found = assemble(read_warc(spark, path, with_payload=False)).where("response IS NOT NULL")
-    rows = found.select("record_id", F.regexp_extract("metadata.block", r"page-id: (-?\d+)", 1).cast("long").alias("page_id"), F.col("response.payload_length").alias("n"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"))
-    first = rows.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("n").alias("first_n"))
-    return rows.join(first, "to", "left").select("page_id", F.coalesce("n", "first_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    page_id = F.regexp_extract("metadata.block", r"page-id: (-?\d+)", 1).cast("long").alias("page_id")
+    rows = cut(found.select("record_id", page_id, F.col("response.payload_length").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to")))
+    remove(spark, path)
+    # only revisits look for another record, and only records that they name are looked for
+    revisits = rows.where("record_type = 'revisit'").drop("payload_bytes").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    named = revisits.select(F.col("to").alias("record_id")).distinct()
+    first = rows.where("record_type = 'response'").join(named, "record_id", "left_semi")
+    first = first.select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), "payload_bytes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    responses = rows.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*names)
+    return responses.unionByName(revisits.join(first, ["to", "salt"], "left").select(*names))

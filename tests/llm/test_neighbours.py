@@ -61,3 +61,28 @@ def test_recall_on_the_given_table(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     assert recall(N.op3_neighbours(spark, d).collect(), brute(rows)) >= 0.9
+
+
+def test_clusters_are_found_with_few_comparisons(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(150, 24))
+    x = np.repeat(centres, 40, axis=0) + 0.15 * r.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(np.float32(a)) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = N.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert recall(got, brute(rows)) >= 0.9
+    compared = {g.query_id: g.compared for g in got}
+    assert len(compared) == 300 and np.mean(list(compared.values())) < 0.35 * len(rows)
+
+
+def test_slices_and_ids_with_several_vectors(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLICE_ROWS", 50)
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(400, 6)), 5 + 0.01 * r.normal(size=(400, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (3, [9.0] * 6)], "vec_id long, embedding array<double>")
+    got = N.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert recall(got, brute(rows)) >= 0.9
+    assert all(len({g.vec_id for g in got if g.query_id == q}) == 20 for q in {g.query_id for g in got})
+    assert all(abs(g.score - np.dot(x[400], [9.0] * 6)) < 1e-9 for g in got if g.query_id == 400 and g.vec_id == 3)
