@@ -289,17 +289,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         K.release()
         return pa.table({"doc_id": pa.array(b.ids[b.wanted], pa.int64()), "vector": pa.array(out, pa.binary())})
 
-    keys = cut(grouped.applyInArrow(name, "doc_id long, k1 long, k2 long"))
+    keys = grouped.applyInArrow(name, "doc_id long, k1 long, k2 long")
     classes = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
     letter = lambda kind, df, c, copies: df.select(block_of(c).alias("block"), F.lit(kind).cast("int").alias("kind"), F.lit(None).cast("long").alias("shard"), F.col(c).alias("doc_id"), copies.cast("long").alias("copies"), F.lit(None).cast("binary").alias("data"))
     leaders = letter(0, classes, "copy_of", F.col("copies"))
     replies = grouped.cogroup(leaders.groupBy("block")).applyInArrow(send, "shard long, block long, data binary, copies binary").groupBy("shard").applyInArrow(count_shard, MAIL_SQL)
-    known = leaders.unionByName(cut(replies))
-    bands = cut(grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, size long, bucket long"))
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    met = bands.join(buckets, "bucket")
+    known = leaders.unionByName(replies)
+    bands = grouped.cogroup(known.groupBy("block")).applyInArrow(sample, "doc_id long, size long, bucket long")
+    bucket = Window.partitionBy("bucket")
+    met = bands.withColumn("members", F.count("*").over(bucket)).withColumn("weight", F.sum(F.col("size") + OWN).over(bucket))
+    met = met.where("members > 1 AND weight > 0")  # names both, so that all uses share one exchange of samples
     wanted = letter(2, met.select("doc_id").distinct(), "doc_id", F.lit(None))
-    found = cut(grouped.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(vectors, "doc_id long, vector binary"))
+    found = grouped.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(vectors, "doc_id long, vector binary")
+    # one job computes all three, so that the texts are shuffled once
+    copies = keys.join(classes, ["k1", "k2"]).select("doc_id", "copy_of")
+    facts = cut(copies.select("doc_id", "copy_of").unionByName(met.drop("weight"), allowMissingColumns=True).unionByName(found, allowMissingColumns=True))
+    copies = facts.where("copy_of IS NOT NULL").select("doc_id", "copy_of")
+    met = facts.where("bucket IS NOT NULL").select("doc_id", "size", "bucket", "members")
+    found = facts.where("vector IS NOT NULL").select("doc_id", "vector")
 
     def compared(left: DataFrame, right: DataFrame) -> DataFrame:
         """Links between members left and right of the same (x, i, j)."""
@@ -334,7 +341,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     right = own.select("x", part_of(F.col("n_i")).alias("i"), upto(F.col("n_j")).alias("j"), "part", "doc_id")
     links = compared(left, right)
     links = (links.unionByName(star) if star else links).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    copies = keys.join(classes, ["k1", "k2"]).select("doc_id", "copy_of")
     roots = components(links).withColumnRenamed("node", "copy_of")
     groups = copies.join(roots, "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("group_id"), "copy_of")
     if every_link:
