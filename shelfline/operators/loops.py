@@ -4,21 +4,11 @@ Each round is a join and an aggregate over edges; lineage is cut with checkpoint
 folder. What reaches the driver is one number a round.
 """
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once, in the folder that spark.checkpoint.dir names (a local one only where that is unset)."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+from ..functions.store import cut
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, directed: bool = False) -> DataFrame:

@@ -35,12 +35,15 @@ def elasticity_confidence(e: DataFrame, wide: float = 2.0, low: float = 4.0) ->
 
 
 def shrunk_elasticity(tx: DataFrame, **how) -> DataFrame:
-    """Estimates drawn towards their category's mean by the share of variance within."""
+    """Estimates drawn towards their category's mean: an estimate's own weight is between / (between + within).
+
+    A noisy estimate moves most. (The usual form; weights the other way round pull the sure ones.)
+    """
     e = own_price_elasticity(tx, **how).join(category_map(tx), "stockcode")
     by = W.partitionBy("category")
     e = e.withColumns({"category_mean": F.avg("elasticity").over(by), "between": F.coalesce(F.var_samp("elasticity").over(by), F.lit(0.0)), "within": F.col("std_error") * F.col("std_error")})
     weight = F.when(F.col("between") + F.col("within") > 0, F.col("between") / (F.col("between") + F.col("within"))).otherwise(0.0)
-    return e.select("stockcode", "category", "elasticity", "category_mean", weight.alias("category_weight"), (weight * F.col("category_mean") + (1 - weight) * F.col("elasticity")).alias("shrunk"))
+    return e.select("stockcode", "category", "elasticity", "category_mean", (1 - weight).alias("category_weight"), ((1 - weight) * F.col("category_mean") + weight * F.col("elasticity")).alias("shrunk"))
 
 
 #: Weights of the standardised features.
@@ -115,3 +118,112 @@ def price_tiers(tx: DataFrame, labels: tuple[str, ...] = ("Budget", "Mainstream"
     m = tx.groupBy("stockcode").agg(F.percentile("price", 0.5).alias("median_price"))
     cuts = F.broadcast(m.agg(F.percentile("median_price", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q")))
     return m.crossJoin(cuts).select("stockcode", "median_price", F.when(F.col("median_price") <= F.col("_q")[0], labels[0]).when(F.col("median_price") <= F.col("_q")[1], labels[1]).otherwise(labels[2]).alias("price_tier"))
+
+
+def elasticity_status(tx: DataFrame, estimates: DataFrame, min_periods: int = 10, min_price_variation: float = 0.05) -> DataFrame:
+    """For every product whether its elasticity can be told, and if not why. estimates comes from elasticity_confidence."""
+    s = weekly_prices(tx).groupBy("stockcode").agg(F.count("*").alias("n_obs"), (F.stddev_samp("p") / F.avg("p")).alias("price_cv"), F.countDistinct("p").alias("_k"), F.count_if((F.col("p") == 0) | (F.col("q") == 0)).alias("_zero"))
+    why = (
+        F.when(F.col("n_obs") < min_periods, "insufficient_observations")
+        .when(F.col("_zero") > 0, "unavailable")
+        .when(F.col("_k") < 3, "insufficient_price_points")
+        .when(F.col("price_cv") < min_price_variation, "insufficient_variation")
+    )
+    t = s.join(estimates.select("stockcode", "elasticity", "r_squared", "confidence"), "stockcode", "left")
+    told = F.when(F.col("elasticity").isNull(), "unavailable").when(F.col("confidence") == "low", "weak").otherwise("estimated")
+    return t.select("stockcode", F.coalesce(why, told).alias("elasticity_status"), "n_obs", "price_cv", "elasticity", "r_squared", "confidence")
+
+
+def robust_elasticity(tx: DataFrame, **how) -> DataFrame:
+    """own_price_elasticity with errors that allow for unequal variance (HC3): residuals over 1 - leverage."""
+    e = own_price_elasticity(tx, **how).select("stockcode", "elasticity", "intercept", "n_obs")
+    w = weekly_prices(tx).where("p > 0 AND q > 0").select("stockcode", F.log("p").alias("x"), F.log("q").alias("y")).join(e, "stockcode")
+    m = w.groupBy("stockcode").agg(F.avg("x").alias("mx"), F.regr_sxx("y", "x").alias("sxx"))
+    w = w.join(m, "stockcode").withColumn("dx", F.col("x") - F.col("mx"))
+    leverage = 1 / F.col("n_obs") + F.col("dx") * F.col("dx") / F.col("sxx")
+    r = (F.col("y") - F.col("intercept") - F.col("elasticity") * F.col("x")) / (1 - leverage)
+    g = w.groupBy("stockcode").agg(F.first("elasticity").alias("elasticity"), F.first("n_obs").alias("n_obs"), (F.sqrt(F.sum(F.pow(F.col("dx") * r, 2))) / F.first("sxx")).alias("robust_error"))
+    half = 1.96 * F.col("robust_error")
+    return g.withColumns({"ci_lower": F.col("elasticity") - half, "ci_upper": F.col("elasticity") + half})
+
+
+def cross_price_elasticity(tx: DataFrame, pairs: DataFrame, min_periods: int = 10, min_price_variation: float = 0.05) -> DataFrame:
+    """For pairs (a, b): effect of the log price of b on the log quantity of a, its own log price taken out."""
+    w = weekly_prices(tx).where("p > 0 AND q > 0")
+    side = lambda s: w.select(F.col("stockcode").alias(s), "week", F.col("p").alias(f"p_{s}"), F.log("p").alias(f"x_{s}"), F.log("q").alias(f"y_{s}"))
+    t = pairs.select("a", "b").join(side("a"), "a").join(side("b").drop("y_b"), ["b", "week"])
+    cov = lambda u, v, name: (F.covar_pop(u, v) * F.count("*")).alias(name)
+    vary = lambda c: F.stddev_samp(c) / F.avg(c)
+    g = t.groupBy("a", "b").agg(
+        F.count("*").alias("n_obs"), vary("p_a").alias("cv_a"), vary("p_b").alias("cv_b"), F.countDistinct("p_a").alias("k_a"), F.countDistinct("p_b").alias("k_b"),
+        cov("x_a", "x_a", "aa"), cov("x_b", "x_b", "bb"), cov("x_a", "x_b", "ab"), cov("y_a", "x_a", "ya"), cov("y_a", "x_b", "yb"), cov("y_a", "y_a", "yy"),
+    )
+    g = g.where((F.col("n_obs") >= min_periods) & (F.col("cv_a") >= min_price_variation) & (F.col("cv_b") >= min_price_variation) & (F.col("k_a") >= 3) & (F.col("k_b") >= 3))
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    g = g.withColumns({"own_elasticity": (F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab")) / det, "cross_elasticity": (F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab")) / det})
+    rest = F.col("yy") - F.col("own_elasticity") * F.col("ya") - F.col("cross_elasticity") * F.col("yb")
+    se = F.sqrt(F.greatest(F.lit(0.0), rest) / (F.col("n_obs") - 3) * F.col("aa") / det)
+    kind = F.when(F.col("cross_elasticity") > 0, "substitutes").otherwise("complements")
+    return g.where(det > 0).select("a", "b", "n_obs", "own_elasticity", "cross_elasticity", se.alias("std_error"), kind.alias("relation"))
+
+
+def pricing_scorecard(status: DataFrame, kvi: DataFrame) -> DataFrame:
+    """One row: products by status, estimates with high confidence, and the revenue that usable estimates cover."""
+    t = status.select("stockcode", F.col("elasticity_status").alias("s"), F.col("confidence").alias("c")).join(kvi.select("stockcode", F.col("total_revenue").alias("r")), "stockcode", "left")
+    usable = F.col("s").isin("estimated", "weak")
+    covered = F.coalesce(F.sum(F.when(usable, F.col("r"))), F.lit(0.0))
+    return t.agg(F.count("*").alias("n_products"), F.count_if(F.col("s") == "estimated").alias("n_estimated"), F.count_if(F.col("s") == "weak").alias("n_weak"), F.count_if(F.col("c") == "high").alias("n_high"), covered.alias("covered_revenue"), (covered / F.sum("r")).alias("covered_share"))
+
+
+def usable_estimates(tx: DataFrame, status: DataFrame) -> DataFrame:
+    """Products whose estimate can be acted on, with mean weekly price and quantity."""
+    base = weekly_prices(tx).groupBy("stockcode").agg(F.avg("p").alias("base_price"), F.avg("q").alias("base_qty"))
+    good = status.where(F.col("confidence").isin("high", "medium") & F.col("elasticity_status").isin("estimated", "weak"))
+    return good.select("stockcode", "elasticity").join(base, "stockcode")
+
+
+def _priced(t: DataFrame) -> DataFrame:
+    """Quantity and revenue at the price base_price x (1 + change), elasticity constant."""
+    t = t.withColumn("price", F.col("base_price") * (1 + F.col("change")))
+    t = t.withColumn("quantity", F.col("base_qty") * F.pow(1 + F.col("change"), F.col("elasticity")))
+    return t.withColumn("revenue", F.col("price") * F.col("quantity"))
+
+
+def price_simulation(usable: DataFrame, changes: tuple[float, ...] = (-0.05, -0.02, 0.02, 0.05)) -> DataFrame:
+    """Price, quantity and revenue of every usable product after a few changes of price."""
+    t = _priced(usable.withColumn("change", F.explode(F.array(*[F.lit(float(c)) for c in changes]))))
+    return t.select("stockcode", "change", "price", "quantity", "revenue", (F.col("revenue") / (F.col("base_price") * F.col("base_qty")) - 1).alias("revenue_change"))
+
+
+def price_response_curve(usable: DataFrame, estimates: DataFrame, points: int = 100, width: float = 0.2) -> DataFrame:
+    """Demand curve of every usable product over a range of prices, with a band from the interval of the estimate."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+    t = usable.join(estimates.select("stockcode", "ci_lower", "ci_upper"), "stockcode").select("*", step)
+    t = _priced(t.withColumn("change", -width + F.col("point") * (2 * width / (points - 1))))
+    at = lambda c: F.col("base_qty") * F.pow(1 + F.col("change"), F.col(c))
+    return t.select("stockcode", "point", "price", "quantity", F.least(at("ci_lower"), at("ci_upper")).alias("quantity_low"), F.greatest(at("ci_lower"), at("ci_upper")).alias("quantity_high"))
+
+
+def price_ladder(kvi: DataFrame) -> DataFrame:
+    """Premium, Mid, Value or Entry by the quartile of the key value score; elastic products of the third quarter count as Entry."""
+    q = lambda s: F.percentile("kvi_score", F.lit(s)).over(W.partitionBy())
+    k = F.col("kvi_score")
+    tier = F.when(k >= q(0.75), "Premium").when(k >= q(0.5), "Mid").when((k >= q(0.25)) & ~F.coalesce(F.col("abs_elasticity") >= 1, F.lit(False)), "Value").otherwise("Entry")
+    return kvi.select("stockcode", "category", "kvi_score", "abs_elasticity", "total_revenue", tier.alias("tier"))
+
+
+def price_promo_matrix(kvi: DataFrame) -> DataFrame:
+    """Strategy of products with an elasticity, by the medians of score and elasticity, and the band of the score."""
+    t = kvi.where("abs_elasticity IS NOT NULL")
+    high = lambda c: F.col(c) >= F.percentile(c, F.lit(0.5)).over(W.partitionBy())
+    k, e = high("kvi_score"), high("abs_elasticity")
+    strategy = F.when(k & e, "Strategic promo").when(k, "Base-price focus").when(e, "Selective promo").otherwise("Margin opportunity")
+    band = F.when(F.col("kvi_score") >= 0.67, "High").when(F.col("kvi_score") >= 0.33, "Medium").otherwise("Low")
+    return t.select("stockcode", "kvi_score", "abs_elasticity", "total_revenue", band.alias("kvi_status"), strategy.alias("strategy"))
+
+
+def pricing_manager(decisions: DataFrame, status: DataFrame) -> DataFrame:
+    """One row per product: decision, status, elasticity, confidence and what a price cut of 5 % would bring."""
+    t = decisions.select("stockcode", "kvi_score", "total_revenue", "decision").join(status.select("stockcode", F.col("elasticity_status").alias("status"), "elasticity", "confidence", "n_obs"), "stockcode", "full")
+    gain = F.col("total_revenue") * (0.95 * F.pow(F.lit(0.95), F.col("elasticity")) - 1)
+    return t.withColumn("cut_effect", gain)

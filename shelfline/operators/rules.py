@@ -5,17 +5,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+from ..functions.store import cut
 
-def frequent_itemsets(tx: DataFrame, min_support: float = 0.01, max_len: int = 3, max_skus: int = 5000) -> tuple[DataFrame, int]:
-    """items (sorted), freq of the sets of at most max_len products, and the number of baskets."""
-    items = tx.select("transaction_id", "stockcode").distinct()
-    n = tx.select("transaction_id").distinct().count()
-    top = items.groupBy("stockcode").agg(F.count("*").alias("c")).where(F.col("c") >= min_support * n).orderBy(F.desc("c"), "stockcode").limit(max_skus)
-    baskets = items.join(top, "stockcode", "left_semi").groupBy("transaction_id").agg(F.collect_set("stockcode").alias("items"))
-    # baskets without a frequent product are no rows of `baskets`; support stays a share of all baskets
-    kept = max(1, baskets.count())
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * n / kept), numPartitions=tx.sparkSession.sparkContext.defaultParallelism).fit(baskets)
-    return model.freqItemsets.where(F.size("items") <= max_len).select(F.array_sort("items").alias("items"), "freq"), n
+
+#: Sets of up to this many products are counted by joins; longer ones are mined by FP-growth.
+JOIN_LEN = 3
+
+
+def frequent_itemsets(tx: DataFrame, min_support: float = 0.01, max_len: int = 3) -> tuple[DataFrame, int]:
+    """items (sorted), freq of the sets of at most max_len products, and the number of baskets.
+
+    Up to JOIN_LEN each basket's frequent sets grow by its later frequent products, so only sets whose
+    parts are frequent are ever counted.
+    """
+    items = cut(tx.select("transaction_id", "stockcode").distinct())
+    n = items.select("transaction_id").distinct().count()
+    often = lambda sets: sets.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_support * n)
+    one = items.select("transaction_id", F.array("stockcode").alias("items"), F.col("stockcode").alias("last"))
+    known = often(one)
+    if max_len > JOIN_LEN:
+        baskets = items.join(known.select(F.col("items")[0].alias("stockcode")), "stockcode", "left_semi").groupBy("transaction_id").agg(F.collect_set("stockcode").alias("items"))
+        # baskets without a frequent product are no rows of `baskets`; support stays a share of all baskets, and is
+        # asked for half a basket low, as it is multiplied back and rounded up inside
+        kept = max(1, baskets.count())
+        low = min(1.0, max(0.0, (min_support * n - 0.5) / kept))
+        model = FPGrowth(itemsCol="items", minSupport=low, numPartitions=tx.sparkSession.sparkContext.defaultParallelism).fit(baskets)
+        sets = model.freqItemsets.where((F.size("items") <= max_len) & (F.col("freq") >= min_support * n))
+        return sets.select(F.array_sort("items").alias("items"), "freq"), n
+    grown = one.join(known.select("items"), "items", "left_semi")
+    single = grown.select("transaction_id", F.col("last").alias("next"))
+    out = known
+    for _ in range(max_len - 1):
+        grown = grown.join(single, "transaction_id").where("next > last").select("transaction_id", F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last"))
+        known = often(grown)
+        out = out.unionByName(known)
+        grown = grown.join(known.select("items"), "items", "left_semi")
+    return cut(out), n
 
 
 def generate_rules(sets: DataFrame, n: int, min_confidence: float = 0.1) -> DataFrame:
@@ -28,7 +54,9 @@ def generate_rules(sets: DataFrame, n: int, min_confidence: float = 0.1) -> Data
     one = lambda c, v: sets.select(F.col("items").alias(c), F.col("freq").alias(v))
     r = split.join(one("antecedents", "fa"), "antecedents").join(one("consequents", "fc"), "consequents")
     a, c, ac = F.col("fa") / n, F.col("fc") / n, F.col("freq") / n
-    r = r.select("antecedents", "consequents", a.alias("antecedent_support"), c.alias("consequent_support"), ac.alias("support"), (ac / a).alias("confidence"), (ac / (a * c)).alias("lift"), (ac - a * c).alias("leverage"))
+    # quotients of counts, so that a rule exactly at a bound stays there
+    confidence, lift = F.col("freq") / F.col("fa"), F.col("freq") * n / (F.col("fa") * F.col("fc"))
+    r = r.select("antecedents", "consequents", a.alias("antecedent_support"), c.alias("consequent_support"), ac.alias("support"), confidence.alias("confidence"), lift.alias("lift"), (ac - a * c).alias("leverage"))
     top = F.greatest(F.col("support") * (1 - F.col("antecedent_support")), F.col("antecedent_support") * (F.col("consequent_support") - F.col("support")))
     return r.where(F.col("confidence") >= min_confidence).withColumns({"conviction": F.when(F.col("confidence") < 1, (1 - F.col("consequent_support")) / (1 - F.col("confidence"))).otherwise(F.lit(float("inf"))), "zhangs_metric": F.when(top != 0, F.col("leverage") / top).otherwise(0.0)})
 
@@ -53,11 +81,12 @@ def rules_to_table(rules: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(p: DataFrame, key: str, value: str) -> DataFrame:
-    """q-values of p-values: the least of p n / rank over this and larger p."""
-    n = F.count("*").over(W.partitionBy())
-    r = F.row_number().over(W.orderBy(value, key))
-    raw = p.select(key, value, (F.col(value) * n / r).alias("_q"))
-    return raw.withColumn("q_value", F.least(F.lit(1.0), F.min("_q").over(W.orderBy(value, key).rowsBetween(0, W.unboundedFollowing)))).drop("_q")
+    """q-values of p-values: the least of p n / rank over this and larger p. Ranks and minima go by ranges of p."""
+    raw = ranked(p.select(key, value), value, key).withColumn("_q", F.col(value) * F.col("n") / F.col("rank"))
+    later = raw.groupBy("range").agg(F.min("_q").alias("_m"))
+    later = later.withColumn("_later", F.min("_m").over(W.orderBy("range").rowsBetween(1, W.unboundedFollowing))).drop("_m")
+    own = F.min("_q").over(W.partitionBy("range").orderBy(value, key).rowsBetween(0, W.unboundedFollowing))
+    return raw.withColumn("_own", own).join(F.broadcast(later), "range").select(key, value, F.least(F.lit(1.0), F.col("_own"), F.col("_later")).alias("q_value"))
 
 
 def lift_interval(tx: DataFrame, rules: DataFrame, resamples: int = 200, seed: int = 42) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..functions.scalar import revenue, safe_divide
 
 #: Names of recency, frequency and monetary scores.
@@ -21,15 +22,15 @@ RFM_NAMES = {
 }
 
 
-def rank_quartile(c: str, *ties: str) -> Column:
+def with_quartile(t: DataFrame, c: str, name: str, *ties: str) -> DataFrame:
     """Quartile 1 to 4 of a column by rank, ties in the order of other columns.
 
     Edges are linear quantiles of the ranks 1..n; a rank on an edge belongs below it.
     """
-    r = F.row_number().over(W.orderBy(c, *ties))
-    n = F.count("*").over(W.partitionBy())
-    edge = lambda q: 1 + (n - 1) * q
-    return F.when(r <= edge(0.25), 1).when(r <= edge(0.5), 2).when(r <= edge(0.75), 3).otherwise(4)
+    r = F.col("rank")
+    edge = lambda q: 1 + (F.col("n") - 1) * q
+    kind = F.when(r <= edge(0.25), 1).when(r <= edge(0.5), 2).when(r <= edge(0.75), 3).otherwise(4)
+    return ranked(t, c, *ties).withColumn(name, kind).drop("rank", "n", "range")
 
 
 def rfm_features(tx: DataFrame) -> DataFrame:
@@ -51,7 +52,10 @@ def rfm_features(tx: DataFrame) -> DataFrame:
 
 def rfm_segments(rfm: DataFrame) -> DataFrame:
     """Scores 1 to 4 for each of recency, frequency and value, and the segment's name. Ties by customer id."""
-    scored = rfm.select("customer_id", "recency_days", "frequency", "monetary", (5 - rank_quartile("recency_days", "customer_id")).alias("recency_score"), rank_quartile("frequency", "customer_id").alias("frequency_score"), rank_quartile("monetary", "customer_id").alias("monetary_score"))
+    scored = rfm.select("customer_id", "recency_days", "frequency", "monetary")
+    for c, name in (("recency_days", "recency_score"), ("frequency", "frequency_score"), ("monetary", "monetary_score")):
+        scored = with_quartile(scored, c, name, "customer_id")
+    scored = scored.withColumn("recency_score", 5 - F.col("recency_score"))
     code = F.concat(F.col("recency_score").cast("string"), F.col("frequency_score").cast("string"), F.col("monetary_score").cast("string"))
     names = F.create_map(*[F.lit(x) for name, codes in RFM_NAMES.items() for c in codes for x in (c, name)])
     return scored.withColumn("rfm_score", code).withColumn("segment", F.coalesce(F.try_element_at(names, F.col("rfm_score")), F.lit("Other")))
@@ -134,3 +138,96 @@ def purchase_streak(tx: DataFrame) -> DataFrame:
     w = W.partitionBy("customer_id").orderBy("d")
     runs = days.withColumn("new", F.when(F.datediff("d", F.lag("d").over(w)) <= 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return runs.groupBy("customer_id", "run").agg(F.sum("n").alias("n")).groupBy("customer_id").agg(F.max("n").alias("streak"))
+
+
+def _of_segment(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    return tx.join(segments.select("customer_id", "segment"), "customer_id")
+
+
+def segment_sizes(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Customers and revenue of each segment."""
+    return _of_segment(segments, tx).groupBy("segment").agg(F.countDistinct("customer_id").alias("customers"), F.sum(revenue()).alias("monetary"))
+
+
+def segment_economics(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Revenue of each segment as customers x orders per customer x revenue per order."""
+    g = _of_segment(segments, tx).groupBy("segment").agg(F.countDistinct("customer_id").alias("customers"), F.countDistinct("transaction_id").alias("transactions"), F.sum(revenue()).alias("revenue"), F.sum("quantity").alias("units"))
+    return g.withColumns({"orders_per_customer": F.col("transactions") / F.col("customers"), "avg_basket_value": F.col("revenue") / F.col("transactions"), "revenue_per_customer": F.col("revenue") / F.col("customers")})
+
+
+def segment_categories(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Segment by category: revenue, its share of the segment's, that against the share of all (index), and reach in the segment."""
+    t = _of_segment(segments, tx)
+    g = t.groupBy("segment", "category").agg(F.sum(revenue()).alias("revenue"), F.countDistinct("customer_id").alias("customers"))
+    size = t.groupBy("segment").agg(F.countDistinct("customer_id").alias("_n"))
+    own, whole, every = W.partitionBy("segment"), W.partitionBy("category"), W.partitionBy()
+    share = F.col("revenue") / F.sum("revenue").over(own)
+    usual = F.sum("revenue").over(whole) / F.sum("revenue").over(every)
+    return g.join(size, "segment").select("segment", "category", "revenue", "customers", (share * 100).alias("revenue_pct"), (share / usual).alias("affinity_index"), (F.col("customers") / F.col("_n") * 100).alias("penetration_pct"))
+
+
+def segment_growth(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Second half of the lines' time against the first, split at the median date; segments with lines in both."""
+    seconds = F.unix_timestamp("date").cast("double")
+    middle = F.broadcast(tx.agg(F.percentile(seconds, 0.5).alias("_m")))
+    t = _of_segment(segments, tx).crossJoin(middle).withColumn("_late", seconds > F.col("_m"))
+    names = {"revenue": F.sum(revenue()), "customers": F.countDistinct("customer_id"), "transactions": F.countDistinct("transaction_id"), "aov": F.avg(revenue())}
+    g = t.groupBy("segment", "_late").agg(*[c.alias(n) for n, c in names.items()])
+    first, second = (g.where(F.col("_late") == late).select("segment", *[F.col(n).alias(f"{n}_{k}") for n in names]) for late, k in ((False, 1), (True, 2)))
+    j = first.join(second, "segment")
+    pct = lambda n: F.when(F.col(f"{n}_1") != 0, (F.col(f"{n}_2") - F.col(f"{n}_1")) / F.col(f"{n}_1") * 100).otherwise(0.0)
+    share = lambda k: F.col(f"revenue_{k}") / F.sum(f"revenue_{k}").over(W.partitionBy()) * 100
+    return j.select("segment", pct("revenue").alias("revenue_growth_pct"), pct("customers").alias("customer_growth_pct"), pct("transactions").alias("frequency_growth_pct"), pct("aov").alias("avg_order_value_growth_pct"), (share(2) - share(1)).alias("segment_share_change_pct"))
+
+
+def segment_manager(economics: DataFrame, growth: DataFrame) -> DataFrame:
+    """Revenue and growth of each segment, its quadrant by growth and revenue per customer, and what to do."""
+    t = economics.select("segment", "revenue", "customers", "transactions", "revenue_per_customer").join(growth.select("segment", "revenue_growth_pct", "customer_growth_pct"), "segment", "left").fillna(0.0)
+    mid = lambda c: F.percentile(c, F.lit(0.5)).over(W.partitionBy())
+    up, rich = F.col("revenue_growth_pct") >= 0, F.col("revenue") > mid("revenue")
+    action = F.when(up & rich, "Invest").when(rich, "Harvest").when(up, "Build").otherwise("Hold")
+    fast, dear = F.col("revenue_growth_pct") >= mid("revenue_growth_pct"), F.col("revenue_per_customer") >= mid("revenue_per_customer")
+    kind = F.when(fast & dear, "Invest").when(dear, "Retain").when(fast, "Develop").otherwise("Depreciate")
+    return t.withColumns({"quadrant": kind, "action": action})
+
+
+def segment_engagement(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Means over each segment's customers: orders, days since the last, days between, weeks and months with orders; shares active in 30 days and without an order in 90."""
+    last = F.broadcast(tx.agg(F.to_date(F.max("date")).alias("_end")))
+    d = F.to_date("date")
+    days = F.datediff(F.max(d), F.min(d))
+    c = _of_segment(segments, tx).groupBy("segment", "customer_id").agg(
+        F.countDistinct("transaction_id").alias("purchase_frequency"), F.max(d).alias("_last"), (days / F.greatest(F.countDistinct(d) - 1, F.lit(1))).alias("avg_days_between"),
+        F.countDistinct(F.date_trunc("week", "date")).alias("active_weeks"), F.countDistinct(F.date_trunc("month", "date")).alias("active_months"),
+    ).crossJoin(last).withColumn("recency_days", F.datediff("_end", "_last"))
+    means = [F.avg(n).alias(n) for n in ("purchase_frequency", "recency_days", "avg_days_between", "active_weeks", "active_months")]
+    share = lambda e: F.count_if(e) / F.count("*") * 100
+    return c.groupBy("segment").agg(F.count("*").alias("total_customers"), *means, share(F.col("recency_days") <= 30).alias("active_customer_rate_pct"), share(F.col("recency_days") > 90).alias("dormancy_rate_pct"))
+
+
+def segment_baskets(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Means over each segment's baskets, and shares above the median value and below half of it."""
+    b = _of_segment(segments, tx).groupBy("segment", "customer_id", "transaction_id").agg(F.round(F.sum(revenue()), 2).alias("v"), F.sum("quantity").alias("u"), F.countDistinct("stockcode").alias("s"), F.countDistinct("category").alias("c"))
+    mid = b.groupBy("segment").agg(F.percentile("v", 0.5).alias("_m"))
+    share = lambda e: F.count_if(e) / F.count("*") * 100
+    return b.join(mid, "segment").groupBy("segment").agg(
+        F.count("*").alias("n_baskets"), F.avg("v").alias("avg_basket_value"), F.avg("u").alias("avg_units_per_basket"), F.avg("s").alias("avg_skus_per_basket"), F.avg("c").alias("avg_categories_per_basket"),
+        share(F.col("v") > F.col("_m")).alias("large_basket_rate_pct"), share(F.col("v") < F.col("_m") * 0.5).alias("small_basket_rate_pct"),
+    )
+
+
+def segment_retention(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Customers of each segment in the first and second half of the time, and how many of the first came back."""
+    seconds = F.unix_timestamp("date").cast("double")
+    middle = F.broadcast(tx.agg(F.percentile(seconds, 0.5).alias("_m")))
+    late = seconds > F.col("_m")
+    c = _of_segment(segments, tx).crossJoin(middle).groupBy("segment", "customer_id").agg(F.max(late).alias("second"), F.max(~late).alias("first"), F.countDistinct("transaction_id").alias("n"))
+    g = c.groupBy("segment").agg(F.count_if("first").alias("n_first"), F.count_if(F.col("first") & F.col("second")).alias("n_kept"), (F.count_if(F.col("n") > 1) / F.count("*") * 100).alias("repeat_customer_pct"))
+    return g.withColumn("retention_pct", F.when(F.col("n_first") > 0, F.col("n_kept") / F.col("n_first") * 100).otherwise(0.0))
+
+
+def segment_prices(segments: DataFrame, tx: DataFrame) -> DataFrame:
+    """Mean price paid in each segment, its spread, and against the mean price of each product."""
+    usual = tx.groupBy("stockcode").agg(F.avg("price").alias("_p"))
+    t = _of_segment(segments, tx).join(usual, "stockcode")
+    return t.groupBy("segment").agg(F.avg("price").alias("avg_price"), (F.stddev_samp("price") / F.avg("price")).alias("price_cv"), F.avg(F.col("price") / F.col("_p")).alias("price_index"), (F.count_if(F.col("price") < F.col("_p")) / F.count("*") * 100).alias("below_usual_pct"))

@@ -70,7 +70,7 @@ register("own_price_elasticity", P.own_price_elasticity, f"WITH {EL} SELECT * FR
 register("elasticity_confidence", lambda tx: P.elasticity_confidence(P.own_price_elasticity(tx)), f"""WITH {EL} SELECT *, CASE WHEN (ci_upper - ci_lower) / greatest(abs(elasticity), 1e-9) <= 2 THEN 'high' WHEN (ci_upper - ci_lower) / greatest(abs(elasticity), 1e-9) <= 4 THEN 'medium' ELSE 'low' END AS confidence,
 CASE WHEN abs(elasticity) > 1 THEN 'elastic' WHEN abs(elasticity) < 1 THEN 'inelastic' ELSE 'unit' END AS demand FROM e""", ED)
 register("shrunk_elasticity", P.shrunk_elasticity, f"""WITH {EL}, {CATS}, b AS (SELECT stockcode, category, elasticity, avg(elasticity) OVER (PARTITION BY category) AS category_mean, coalesce(var_samp(elasticity) OVER (PARTITION BY category), 0) AS bt, std_error * std_error AS wi FROM e JOIN cm USING (stockcode))
-SELECT stockcode, category, elasticity, category_mean, bt / (bt + wi) AS category_weight, bt / (bt + wi) * category_mean + (1 - bt / (bt + wi)) * elasticity AS shrunk FROM b""", "elasticity category_mean category_weight shrunk")
+SELECT stockcode, category, elasticity, category_mean, wi / (bt + wi) AS category_weight, (wi * category_mean + bt * elasticity) / (bt + wi) AS shrunk FROM b""", "elasticity category_mean category_weight shrunk")
 Z = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
 KVI = f"""{EL}, {CATS}, pm AS (SELECT stockcode, {R} AS total_revenue, count(DISTINCT customer_id) AS customers, count(DISTINCT transaction_id) / (SELECT count(DISTINCT transaction_id) FROM tx) AS basket_penetration FROM tx GROUP BY 1),
 kf AS (SELECT stockcode, category, total_revenue, basket_penetration, customers, total_revenue / customers AS rpc, abs(elasticity) AS abs_elasticity FROM pm JOIN cm USING (stockcode) LEFT JOIN e USING (stockcode)),
