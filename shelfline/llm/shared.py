@@ -1,20 +1,11 @@
-"""Where intermediate tables go, and connected components over them."""
-
-import tempfile
+"""What the operators of this subpackage share: batch sizes and connected components."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every machine sees; a local one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["components", "cut", "long_rows", "shared_dir"]
 
 
 def long_rows(spark: SparkSession, most: int = 500) -> None:
@@ -25,12 +16,6 @@ def long_rows(spark: SparkSession, most: int = 500) -> None:
         spark.conf.set(name, str(most))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def components(links: DataFrame) -> DataFrame:
     """Columns node, root: each node of links (a, b) with the smallest node it is connected to. Roots are left out.
 
