@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# what Arrow frees then goes back to the system with release(), and is not kept by a pool of its own
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 #: Bytes that belong to words: ASCII letters and digits, and every byte of a longer character.

@@ -40,7 +40,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 IDF_GAIN = 0.1
-BLOCK_BYTES = 8 << 20
+#: Text of one block, and of the blocks whose shingles one shard could hold.
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 STEP = 1 << 19
 #: Shingles of a cell, about, so that two cells fit in a task; a document adds OWN for its row.
 CELL, OWN = 1 << 17, 1 << 7
@@ -241,6 +242,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long_rows(docs.sparkSession)
     bytes_, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(1, -(-int(bytes_ or 0) // block_bytes))
+    shards = max(1, -(-int(bytes_ or 0) // max(SHARD_BYTES, block_bytes)))
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
     rows = rows.withColumn("block", block_of("doc_id")).repartition(n, "block")
     grouped = rows.groupBy("block")
@@ -251,11 +253,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         table = table.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)]))
         keys = [k for part in shingles(table["text"]) for k in part[4]]
         signed = lambda v: np.array(v, dtype=object).astype(np.uint64).view(np.int64) if v else np.zeros(0, np.int64)
+        K.release()
         return pa.table({"doc_id": table["doc_id"], "k1": pa.array(signed([a for a, _ in keys])), "k2": pa.array(signed([b & (1 << 64) - 1 for _, b in keys]))})
 
     def send(key, table, mail):
-        b = _Block(table, mail, n)
+        b = _Block(table, mail, shards)
         low, copies = b.low[b.order], b.copies[b.order]
+        K.release()
         out = [(k, low[x:y].tobytes(), zlib.compress(copies[x:y].tobytes(), 1)) for k, (x, y) in enumerate(zip(b.cuts[:-1], b.cuts[1:], strict=True)) if y > x]
         return pa.table({"shard": pa.array([k for k, _, _ in out], pa.int64()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "data": pa.array([x for _, x, _ in out], pa.binary()), "copies": pa.array([c for _, _, c in out], pa.binary())})
 
@@ -266,10 +270,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in table["copies"].to_pylist()]))
         code = np.minimum(np.round(8 * np.log2(total)), 255).astype(np.uint8)[inverse]
         parts = np.split(code, np.cumsum([len(x) for x in each])[:-1])
+        del each, inverse, total
+        K.release()
         return pa.table([pa.array(blocks_, pa.int64()), pa.array([1] * len(parts), pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], schema=MAIL)
 
     def sample(key, table, mail):
-        b = _Block(table, mail, n)
+        b = _Block(table, mail, shards)
         has = np.diff(b.bounds) > 0
         bounds = np.append(b.bounds[:-1][has], b.bounds[-1])
         log_w = np.log(weights(b.counts, b.df, count)).astype(np.float32)
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": pa.array(np.repeat(ids, BANDS), pa.int64()), "size": pa.array(np.repeat(np.diff(bounds), BANDS), pa.int64()), "bucket": pa.array(keys.ravel(), pa.int64())})
 
     def vectors(key, table, mail):
-        b = _Block(table, mail, n)
+        b = _Block(table, mail, shards)
         w = weights(b.counts, b.df, count).astype(np.float32)
         out = []
         for d in np.flatnonzero(b.wanted):

@@ -38,7 +38,7 @@ from .shared import long_rows
 LENGTH = 50
 KMER = 16
 #: Text of one block and of one shard, and string positions that are worked on at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 STEP = 1 << 19
 #: Strings of a batch at least (and a sixteenth of the shard's), and of a slice of a level.
@@ -279,7 +279,9 @@ def _count_sides(key, table):
     value, count = np.unique(np.concatenate(packed), return_counts=True)
     value = value[count > 1]
     among = lambda x: value[np.minimum(np.searchsorted(value, x), len(value) - 1)] == x if len(value) else np.zeros(len(x), bool)
-    return _messages([(key[0].as_py(), b, b"", zlib.compress(np.packbits(among(x)).tobytes(), 1)) for b, x in zip(table["block"].to_pylist(), packed, strict=True)])
+    out = _messages([(key[0].as_py(), b, b"", zlib.compress(np.packbits(among(x)).tobytes(), 1)) for b, x in zip(table["block"].to_pylist(), packed, strict=True)])
+    K.release()
+    return out
 
 
 def _scan_strings(key, table: pa.Table, length: int) -> pa.Table:
@@ -352,7 +354,7 @@ def _cut(table: pa.Table, spans: pa.Table, as_text: bool) -> pa.Table:
     opens[1:] &= ~gone[:-1]
     inner = offsets[:-1][offsets[:-1] < len(gone)]
     opens[inner] = gone[inner]
-    count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    count = lambda flags: np.diff(np.searchsorted(np.flatnonzero(flags), offsets))
     removed, runs = count(gone), count(opens)
     left = data[~gone]
     bounds = offsets - np.concatenate([[0], np.cumsum(removed)])
@@ -392,7 +394,9 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         return out
 
     def cut(key, table, spans):
-        return _cut(table, spans, as_text)
+        out = _cut(table, spans, as_text)
+        K.release()
+        return out
 
     grouped = rows.groupBy("block")
     repeated = grouped.applyInArrow(send_sides, MESSAGE_SQL).groupBy("shard").applyInArrow(_count_sides, MESSAGE_SQL)
