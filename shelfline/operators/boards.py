@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import period_start, revenue, safe_divide
 
-ALL = W.partitionBy()
-
 
 def middle(c: str | Column, share: float = 0.5) -> Column:
     """Quantile of a column over all rows, by linear interpolation."""
-    return F.percentile(c, F.lit(share)).over(ALL)
+    return F.percentile(c, F.lit(share)).over(W.partitionBy())
 
 
 def scaled(c: str) -> Column:
     """From 0 to 1 between the smallest and the largest value, 0.5 if all are equal."""
-    low, high = F.min(c).over(ALL), F.max(c).over(ALL)
+    low, high = F.min(c).over(W.partitionBy()), F.max(c).over(W.partitionBy())
     return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.5)
 
 
@@ -57,7 +55,7 @@ def category_importance(tx: DataFrame) -> DataFrame:
     """Revenue per customer and reach of each category, and its quadrant by their medians."""
     t = _own(tx, "category")
     t = t.withColumn("revenue_per_customer", F.col("revenue") / F.col("customers"))
-    t = t.withColumn("reach_pct", F.col("customers") / F.sum("customers").over(ALL) * 100)
+    t = t.withColumn("reach_pct", F.col("customers") / F.sum("customers").over(W.partitionBy()) * 100)
     t = t.withColumns({"revenue_score": scaled("revenue_per_customer"), "reach_score": scaled("reach_pct")})
     return t.withColumn("quadrant", quadrant(_high("revenue_per_customer"), _high("reach_pct"), "Grow", "Defend", "Build", "Review"))
 
@@ -80,7 +78,7 @@ def revenue_drivers(components: DataFrame) -> DataFrame:
 
 def growth_reach(kpis: DataFrame) -> DataFrame:
     """Quadrant of each category by growth and reach."""
-    t = kpis.select("category", "revenue", "growth_pct", (F.col("customers") / F.sum("customers").over(ALL) * 100).alias("reach_pct"))
+    t = kpis.select("category", "revenue", "growth_pct", (F.col("customers") / F.sum("customers").over(W.partitionBy()) * 100).alias("reach_pct"))
     kind = quadrant(_high("growth_pct"), _high("reach_pct"), "Growth Engines", "Emerging Opportunities", "Critical Risks", "Draggers")
     return t.withColumn("quadrant", kind)
 
@@ -101,7 +99,7 @@ def decision_priorities(tx: DataFrame) -> DataFrame:
 
 def category_reach(kpis: DataFrame) -> DataFrame:
     """Share of each category in the sum of the categories' customers."""
-    return kpis.select("category", "customers", (F.col("customers") / F.sum("customers").over(ALL)).alias("reach"))
+    return kpis.select("category", "customers", (F.col("customers") / F.sum("customers").over(W.partitionBy())).alias("reach"))
 
 
 #: Parts of growth that the bridge starts from.
@@ -226,7 +224,7 @@ def basket_network(pairs: DataFrame, tx: DataFrame) -> DataFrame:
 def mission_shares(missions: DataFrame, tx: DataFrame) -> DataFrame:
     """Share of lines and revenue in baskets of each mission."""
     t = tx.join(missions, "transaction_id").groupBy("mission").agg(F.count("*").alias("lines"), F.sum(revenue()).alias("revenue"))
-    return t.withColumns({"line_share": F.col("lines") / F.sum("lines").over(ALL), "revenue_share": F.col("revenue") / F.sum("revenue").over(ALL)})
+    return t.withColumns({"line_share": F.col("lines") / F.sum("lines").over(W.partitionBy()), "revenue_share": F.col("revenue") / F.sum("revenue").over(W.partitionBy())})
 
 
 # switching
@@ -337,7 +335,7 @@ def coverage_curve(tx: DataFrame, min_coverage: float = 0.8) -> DataFrame:
     """Share of revenue that the best 1, 2, ... products cover, and whether that is enough."""
     own = _own(tx, "stockcode").drop("customers")
     w = W.orderBy(F.desc("revenue"), "stockcode")
-    t = own.withColumns({"n_products": F.row_number().over(w), "coverage": F.sum("revenue").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("revenue").over(ALL)})
+    t = own.withColumns({"n_products": F.row_number().over(w), "coverage": F.sum("revenue").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("revenue").over(W.partitionBy())})
     return t.withColumn("enough", F.col("coverage") >= min_coverage)
 
 
@@ -354,7 +352,7 @@ def portfolio_matrix(tx: DataFrame, sdp: DataFrame, risk: DataFrame) -> DataFram
     """Per product: share of revenue, uniqueness, reach, cover by kept substitutes and quadrant."""
     n = F.broadcast(tx.agg(F.countDistinct("customer_id").alias("_n")))
     t = _own(tx, "stockcode").crossJoin(n).join(sdp, "stockcode").join(risk.select("stockcode", "coverage"), "stockcode")
-    t = t.select("stockcode", (F.col("revenue") / F.sum("revenue").over(ALL)).alias("revenue_share"), F.round(1 - F.col("sdp"), 9).alias("uniqueness"), (F.col("customers") / F.col("_n")).alias("reach"), F.col("coverage").alias("substitute_coverage"))
+    t = t.select("stockcode", (F.col("revenue") / F.sum("revenue").over(W.partitionBy())).alias("revenue_share"), F.round(1 - F.col("sdp"), 9).alias("uniqueness"), (F.col("customers") / F.col("_n")).alias("reach"), F.col("coverage").alias("substitute_coverage"))
     return t.withColumn("quadrant", quadrant(_high("revenue_share"), _high("uniqueness"), "core", "replaceable_seller", "niche", "tail"))
 
 

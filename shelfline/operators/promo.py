@@ -158,7 +158,7 @@ def promo_scores(waterfall: DataFrame) -> DataFrame:
     volume = F.when(qty != 0, F.abs(qty)).otherwise(F.greatest(F.abs(price), F.lit(1.0)))
     idle = F.abs(qty) <= 0.01 * F.greatest(F.abs(qty), F.abs(price), F.lit(1.0))
     score = F.when(idle, "INEFFECTIVE").when((qty < 0) | (net < -0.5 * volume), "DESTROYS_VALUE").when(roi < 0, "MIXED").otherwise("WIN")
-    return waterfall.select("stockcode", "net_incremental_revenue", "roi", score.alias("score"))
+    return waterfall.select("stockcode", net.alias("net_incremental_revenue"), roi.alias("roi"), score.alias("score"))
 
 
 def promo_roi(comparison: DataFrame, margin: float = 0.3, cost: float = 0.15) -> DataFrame:

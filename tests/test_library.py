@@ -115,3 +115,10 @@ def test_streams(spark, tmp_path):
     E.run_to_parquet(E.windowed_events(stream, late="3650 days").drop("n_users"), f"file://{tmp_path}/never", f"file://{tmp_path}/c0")
     E.run_to_parquet(E.drop_repeats(stream, "3650 days").select("event_id"), f"file://{tmp_path}/ids", f"file://{tmp_path}/c1")
     assert spark.read.schema("event_id long").parquet(f"file://{tmp_path}/ids").count() == batch.select("event_id").distinct().count()
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import shelfline.registry"], check=True, timeout=120)
