@@ -110,7 +110,7 @@ def url_score(model: list[float], host: Column, path: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, model: list[float], url: str = "url", threshold: float = 0.5) -> DataFrame:
-    """The rows of pages, whole, with a column `found`: struct (host, path, rule, verdict, score).
+    """The rows of pages, whole, with a column `found`: struct (host, path, rule, verdict, score), in place of one of that name.
 
     rules has host, path and verdict (allow or block). A rule fits its host and all subdomains if the
     path starts with the rule's; the longest fitting rule wins, of equal ones block. Without
@@ -120,7 +120,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, model: list[float], url: str
     by_host = rules.groupBy("host").agg(F.collect_set(F.struct(F.length(F.concat("host", "path")).alias("size"), F.col("verdict"), F.col("path"), F.concat("host", "path").alias("text"))).alias("own"))
     size = by_host.agg(F.count("*"), F.max(F.size(F.split("host", r"\.")))).first()
     near = F.broadcast if size[0] <= BROADCAST_HOSTS else (lambda df: df)
-    kept = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row")
+    kept = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "found"]).alias("_row")
     out = pages.select(kept, host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
     own = []
     for labels in range(1, (size[1] or 0) + 1):
