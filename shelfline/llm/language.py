@@ -163,7 +163,8 @@ def identify(spark: SparkSession, model: LanguageModel, text: Column | str) -> C
             yield pa.array(rows, kind)
             K.release()
 
-    return run(F.col(text).cast("string") if isinstance(text, str) else text)
+    # marked so that a filter on the result is not pushed below it, where every text would be judged twice
+    return run.asNondeterministic()(F.col(text).cast("string") if isinstance(text, str) else text)
 
 
 def id_class(doc_id: str, classes: int) -> Column:
