@@ -58,56 +58,80 @@ D = (np.log(_C) - _R + _R * _BETA).astype(np.float32)
 ODD = _r.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(column):
-    """For slices of a column: their first value, hash and count of each value's different shingles, values' bounds (n + 1), and two content keys per value."""
-    at = 0
-    lengths = K.sizes(column)
-    for table in K.blocks(pa.table({"t": column}), lengths, STEP):
+def shingles(column, counted: bool = True):
+    """For slices of a column: hash and count of each value's different shingles, values' bounds (n + 1), and two arrays of content keys.
+
+    Uncounted, shingles stay in the order of the text, repeats included, for uses that want the keys only.
+    """
+    for table in K.blocks(pa.table({"t": column}), K.sizes(column), STEP):
         data, offsets = K.lines_of(table["t"])
         start, end, words = K.words_of(data, offsets)
         s = K.prefix_hashes(data)
         name = K.span_hash(s, start, end)
-        n = np.diff(words)
-        hashes, counts, bounds, keys = [], [], [0], []
         # a shingle's hash from its words' hashes, by powers of an odd number
-        chain, _ = K.powers(len(name) + 1)
+        chain, down = K.powers(len(name) + 1)
         total = np.concatenate([[np.uint64(0)], np.cumsum(name * chain[: len(name)])])
-        raw_name = K.span_hash(s, offsets[:-1], offsets[1:])
-        for d in range(len(n)):
-            a, b = words[d], words[d + 1]
-            _, down = K.powers(len(total))
-            size = min(SHINGLE, b - a)
-            if size:
-                first = np.arange(a, b - size + 1)
-                h, c = np.unique(K.mix((total[first + size] - total[first]) * down[first] + np.uint64(size)), return_counts=True)
-                key = int(K.mix((total[b : b + 1] - total[a : a + 1]) * down[a : a + 1])[0])
-                keys.append((key, int(n[d]) << 20 ^ int(h.min() >> np.uint64(8))))
-            else:
-                h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                keys.append((int(raw_name[d]), -1))
-            hashes.append(h)
-            counts.append(c)
-            bounds.append(bounds[-1] + len(h))
-        yield at, np.concatenate(hashes), np.concatenate(counts), np.array(bounds), keys
-        at += table.num_rows
+        n = np.diff(words)
+        has = n > 0
+        size = np.minimum(n, SHINGLE)
+        many = np.where(has, n - size + 1, 0)
+        bounds = np.concatenate([[0], np.cumsum(many)])
+        first = np.arange(bounds[-1]) + np.repeat(words[:-1] - bounds[:-1], many)
+        width = np.repeat(size, many)
+        h = K.mix((total[first + width] - total[first]) * down[first] + width.astype(np.uint64))
+        del first, width
+        key = np.where(has, K.mix((total[words[1:]] - total[words[:-1]]) * down[words[:-1]]), K.span_hash(s, offsets[:-1], offsets[1:]))
+        least = np.zeros(len(n), np.uint64)
+        if len(h):
+            least[has] = np.minimum.reduceat(h, bounds[:-1][has])
+        second = np.where(has, n.astype(np.uint64) << np.uint64(20) ^ least >> np.uint64(8), ~np.uint64(0))
+        counts = np.ones(len(h), np.int64)
+        if counted and len(h):
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                h[a:b].sort()
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            new[bounds[:-1][has]] = True
+            at = np.flatnonzero(new)
+            h, counts, bounds = h[at], np.diff(at, append=len(h)), np.searchsorted(at, bounds)
+        yield h, counts, bounds, (key, second)
 
 
 def samples(h: np.ndarray, log_w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Consistent weighted samples: a 32-bit name for each value (all with shingles) and each of BANDS x ROWS."""
     out = np.empty((len(bounds) - 1, len(ODD)), dtype=np.uint64)
+    low = np.uint64(0xFFFFFFFF)
     d = 0
     while d < len(bounds) - 1:
         e = max(d + 1, int(np.searchsorted(bounds, bounds[d] + TILE, side="right")) - 1)
         a, b = bounds[d], bounds[e]
         x, w, first = h[a:b], log_w[a:b], bounds[d:e] - a
+        # every step writes into the same few arrays, which stay in the cache
+        z, name, i, sign = np.empty_like(x), np.empty_like(x), np.empty(b - a, np.intp), np.empty(b - a, np.int32)
+        t, v = np.empty_like(w), np.empty_like(w)
         for k, odd in enumerate(ODD):
-            z = x * odd
-            i = (z >> np.uint64(48)).astype(np.intp)
-            t = np.floor(w * R_INVERSE[i] + BETA[i])
-            v = (D[i] - R[i] * t).view(np.uint32)
-            v = np.where(v >> 31, ~v, v | np.uint32(1 << 31)).astype(np.uint64)
-            name = ((z >> np.uint64(16)) ^ (t.astype(np.int64).view(np.uint64) * K.BASE)) & np.uint64(0xFFFFFFFF)
-            out[d:e, k] = np.minimum.reduceat((v << np.uint64(32)) | name, first) & np.uint64(0xFFFFFFFF)
+            np.multiply(x, odd, out=z)
+            np.right_shift(z, np.uint64(48), out=i.view(np.uint64))
+            np.take(R_INVERSE, i, out=t, mode="clip")
+            np.multiply(t, w, out=t)
+            t += np.take(BETA, i, out=v, mode="clip")
+            np.floor(t, out=t)
+            np.copyto(name.view(np.int64), t, casting="unsafe")
+            name *= K.BASE
+            z >>= np.uint64(16)
+            name ^= z
+            name &= low
+            np.take(R, i, out=v, mode="clip")
+            t *= v
+            np.subtract(np.take(D, i, out=v, mode="clip"), t, out=v)
+            # floats in order as whole numbers: a negative one has its lower bits turned over
+            bits = v.view(np.int32)
+            np.right_shift(bits, 31, out=sign)
+            sign &= 0x7FFFFFFF
+            bits ^= sign
+            np.copyto(z.view(np.int64), bits)
+            z <<= np.uint64(32)
+            z |= name
+            out[d:e, k] = np.minimum.reduceat(z.view(np.int64), first).view(np.uint64) & low
         d = e
     return out
 
@@ -139,8 +163,8 @@ class _Block:
         self.table = table.filter(pa.array(chosen))
         parts = list(shingles(self.table["text"]))
         cat = lambda k, t: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t)
-        self.h, self.counts = cat(1, np.uint64), cat(2, np.int64)
-        size = np.concatenate([np.diff(p[3]) for p in parts]) if parts else np.zeros(0, np.int64)
+        self.h, self.counts = cat(0, np.uint64), cat(1, np.int64)
+        size = np.concatenate([np.diff(p[2]) for p in parts]) if parts else np.zeros(0, np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         self.ids = self.table["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
         self.wanted = np.isin(self.ids, ids[kinds == 2])
@@ -251,10 +275,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = table["doc_id"].to_numpy(zero_copy_only=False)
         table = table.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)]))
-        keys = [k for part in shingles(table["text"]) for k in part[4]]
-        signed = lambda v: np.array(v, dtype=object).astype(np.uint64).view(np.int64) if v else np.zeros(0, np.int64)
+        keys = [part[3] for part in shingles(table["text"], counted=False)]
+        k1, k2 = (np.concatenate([np.zeros(0, np.uint64), *(k[x] for k in keys)]).view(np.int64) for x in (0, 1))
         K.release()
-        return pa.table({"doc_id": table["doc_id"], "k1": pa.array(signed([a for a, _ in keys])), "k2": pa.array(signed([b & (1 << 64) - 1 for _, b in keys]))})
+        return pa.table({"doc_id": table["doc_id"], "k1": pa.array(k1), "k2": pa.array(k2)})
 
     def send(key, table, mail):
         b = _Block(table, mail, shards)
