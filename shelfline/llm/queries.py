@@ -7,6 +7,7 @@ from .minhash import op6_minhash_dedup
 from .neighbours import op3_neighbours
 from .pieces import op1_sentencepiece
 from .quality import op10_quality
+from .spelling import OP13_SQL, op13_spelling_variants
 from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op7_url_filter
 from .warc import op9_warc
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL, "op13_spelling_variants": OP13_SQL}
