@@ -1,9 +1,10 @@
-"""Spelling variants: words one edit apart, found by walking a trie level by level.
+"""Spelling variants: words one edit apart, found by walking tries level by level.
 
-States (word, at, node) say how much of a word has been read and which node of the trie was reached.
+States (word, at, node) say how much of a word has been read and which node of a trie was reached.
 One level joins them with the edges of that depth. A state without an edit stands on the word's own
 prefix and may replace or delete its next letter; one with an edit must read the rest as it is, and
-is a neighbour where the word and a node that ends a word meet.
+is a neighbour where the word and a node that ends a word meet. Edits in the second half of a word are made in the trie of
+words, those in the first half in the trie of reversed words, so that no edit is made near a root, where nearly every letter has an edge.
 """
 
 import uuid
@@ -27,7 +28,7 @@ SIZE, OFTEN = 5, 3
 #: A form has so many times its word's occurrences, at least.
 TIMES = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LETTERS = "[a-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 PRIME, BASE = (1 << 61) - 1, 1_000_003
 
 
@@ -36,39 +37,50 @@ def letter(at: Column) -> Column:
     return F.substring(F.col("word"), at + 1, F.lit(1))
 
 
+def both_ways(words: DataFrame) -> DataFrame:
+    """Words as they are (back false) and reversed."""
+    every = words.select("word", "n", F.lit(False).alias("back"))
+    return every.union(words.select(F.reverse("word"), "n", F.lit(True)))
+
+
 def trie(words: DataFrame) -> DataFrame:
-    """depth, node (the prefix), edges (letter, n of the word that ends there or null), own_n: a row per node above LEVELS."""
-    steps = words.select("word", "n", F.length("word").alias("size"), F.explode(F.sequence(F.lit(0), F.least(F.length("word"), F.lit(LEVELS - 1)))).alias("depth"))
+    """back, depth, node (the prefix), edges (letter, n of the word that ends there or null), own_n: a row per node."""
+    steps = words.select("back", "word", "n", F.length("word").alias("size"), F.explode(F.sequence(F.lit(0), F.length("word"))).alias("depth"))
     on = F.col("depth") < F.col("size")
-    steps = steps.select("depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), F.when(on, letter(F.col("depth"))).alias("letter"), F.when(F.col("depth") + on.cast("int") == F.col("size"), F.col("n")).alias("n"))
-    steps = steps.groupBy("depth", "node", "letter").agg(F.max("n").alias("n"))
+    steps = steps.select("back", "depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), F.when(on, letter(F.col("depth"))).alias("letter"), F.when(F.col("depth") + on.cast("int") == F.col("size"), F.col("n")).alias("n"))
+    steps = steps.groupBy("back", "depth", "node", "letter").agg(F.max("n").alias("n"))
     edge = F.when(F.col("letter").isNotNull(), F.struct("letter", "n"))
-    return steps.groupBy("depth", "node").agg(F.collect_list(edge).alias("edges"), F.max(F.when(F.col("letter").isNull(), F.col("n"))).alias("own_n"))
+    return steps.groupBy("back", "depth", "node").agg(F.collect_list(edge).alias("edges"), F.max(F.when(F.col("letter").isNull(), F.col("n"))).alias("own_n"))
 
 
 def step(states: DataFrame, level: DataFrame, few: bool) -> DataFrame:
     """The states one edge further, those that have read their word only where a word ends."""
     if few:
-        met = states.join(F.broadcast(level), "node")
+        met = states.join(F.broadcast(level), ["back", "node"])
     else:
         salt = F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")
-        met = states.withColumn("salt", salt).join(level.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["node", "salt"])
+        met = states.withColumn("salt", salt).join(level.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["back", "node", "salt"])
     to = lambda at: lambda e: F.struct(at.alias("at"), F.concat("node", e["letter"]).alias("node"), e["n"].alias("other_n"))
-    at = F.col("at")
+    at, size = F.col("at"), F.length("word")
     here, after = letter(at), letter(at + 1)
     follow = F.transform(F.filter("edges", lambda e: e["letter"] == here), to(at + 1))
     # of two words that differ by one letter the one with the larger letter finds the other; an insertion is the other's deletion
     replace = F.transform(F.filter("edges", lambda e: e["letter"] < here), to(at + 1))
-    # of equal letters in a row the last is deleted
-    delete = F.transform(F.filter("edges", lambda e: (e["letter"] == after) & (here != after)), to(at + 2))
-    last = F.when((at + 1 == F.length("word")) & F.col("own_n").isNotNull(), F.array(F.struct((at + 1).alias("at"), F.col("node").alias("node"), F.col("own_n").alias("other_n"))))
+    # of equal letters in a row the last to be read is deleted; read backwards only if the whole row is in the word's first half
+    row = at + 1 - F.length(F.rtrim(F.substring("word", F.lit(1), at + 1), here))
+    mine = ~F.col("back") | (size - at + row - 2 < F.floor(size / 2))
+    delete = F.transform(F.filter("edges", lambda e: (e["letter"] == after) & (here != after) & mine), to(at + 2))
+    last = F.when((at + 1 == size) & F.col("own_n").isNotNull() & mine, F.array(F.struct((at + 1).alias("at"), F.col("node").alias("node"), F.col("own_n").alias("other_n"))))
     moves = F.when(F.col("edited"), follow).otherwise(F.concat(replace, delete, F.coalesce(last, F.slice(follow, 1, 0))))
-    out = met.select("word", "n", F.inline(moves))
-    return out.where((F.col("at") < F.length("word")) | F.col("other_n").isNotNull())
+    out = met.select("back", "word", "n", F.inline(moves))
+    return out.where((F.col("at") < size) | F.col("other_n").isNotNull()).withColumn("done", F.col("at") == size)
+
+
+STATES = "back boolean, word string, n long, at int, node string, other_n long, done boolean, level int"
 
 
 def tail_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For words of LEVELS letters and more: a hash of the whole, and for each place from LEVELS on hashes of it with that letter replaced or deleted."""
+    """For words of LEVELS letters and more: a hash of the whole, and of longer ones for each place hashes with that letter replaced or deleted."""
     for batch in batches:
         for word, own in zip(batch["word"], batch["code"], strict=True):
             code = [ord(c) for c in word]
@@ -77,7 +89,7 @@ def tail_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 before.append((before[-1] * BASE + c + 1) % PRIME)
                 power.append(power[-1] * BASE % PRIME)
             rows = [("whole", size, -1, before[-1])]
-            for p in range(LEVELS, size):
+            for p in range(size if size > LEVELS else 0):
                 rest = power[size - 1 - p]
                 rows.append(("replaced", size, p, (before[-1] - (code[p] + 1) * rest) % PRIME))
                 if p + 1 == size or code[p] != code[p + 1]:
@@ -87,7 +99,7 @@ def tail_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tails(words: DataFrame) -> DataFrame:
-    """Pairs of words that differ by one edit behind their first LEVELS letters. Equal hashes propose them, the words decide."""
+    """Pairs of words one edit apart, the first (the longer) of more than LEVELS letters. Equal hashes propose them, the words decide."""
     long = words.where(F.length("word") >= LEVELS).withColumn("code", F.xxhash64("word"))
     keys = cut(long.select("word", "code").mapInPandas(tail_keys, "kind string, size long, place long, key long, code long"))
     kind = lambda k, name: keys.where(F.col("kind") == k).select("size", "place", "key", F.col("code").alias(name))
@@ -109,27 +121,27 @@ def near_words(words: DataFrame) -> DataFrame:
     if not longest:
         return words.select("word", "n", F.col("word").alias("other"), F.col("n").alias("other_n")).limit(0)
     path = f"{shared_dir(spark)}/trie-{uuid.uuid4().hex}"
-    trie(words).repartition("depth", F.pmod(F.xxhash64("node"), F.lit(SALTS))).write.partitionBy("depth").parquet(path)
-    edges = spark.read.schema("node string, edges array<struct<letter: string, n: long>>, own_n long, depth int").parquet(path)
+    short = both_ways(words.where(F.length("word") <= LEVELS))
+    trie(short).repartition("depth", F.pmod(F.xxhash64("back", "node"), F.lit(SALTS))).write.partitionBy("depth").parquet(f"{path}/edges")
+    edges = spark.read.schema("back boolean, node string, edges array<struct<letter: string, n: long>>, own_n long, depth int").parquet(f"{path}/edges")
     size = dict(edges.groupBy("depth").agg(F.sum(F.size("edges"))).collect())  # a row per depth
-    found, open_ = [], None
+    first = F.when(F.col("back"), F.length("word") - F.floor(F.length("word") / 2)).otherwise(F.floor(F.length("word") / 2))
+    states = spark.read.schema(STATES)
     for depth in range(min(longest, LEVELS)):
-        level, few = edges.where(F.col("depth") == depth).drop("depth"), size[depth] <= BROADCAST_EDGES
-        own = words.where(F.length("word") > depth).select("word", "n", F.lit(depth).alias("at"), F.substring("word", 1, depth).alias("node"), F.lit(False).alias("edited"))
+        level, few = edges.where(F.col("depth") == depth).drop("depth"), size.get(depth, 0) <= BROADCAST_EDGES
+        own = short.where((F.length("word") > depth) & (first <= depth)).select("back", "word", "n", F.lit(depth).alias("at"), F.substring("word", 1, depth).alias("node"), F.lit(False).alias("edited"))
         # a node with one edge that ends no word offers no edit
         now = step(own, level.where((F.size("edges") > 1) | F.col("own_n").isNotNull()), few)
-        if open_ is not None:
-            now = now.unionByName(step(open_.withColumn("edited", F.lit(True)), level, few))
-        now = cut(now)
-        found.append(now.where(F.col("at") == F.length("word")).select("word", "n", F.col("node").alias("other"), "other_n"))
-        open_ = now.where(F.col("at") < F.length("word")).drop("other_n")
-    remove(spark, path)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        if depth:
+            open_ = states.parquet(f"{path}/states").where((F.col("level") == depth - 1) & ~F.col("done"))
+            now = now.unionByName(step(open_.drop("other_n", "done", "level").withColumn("edited", F.lit(True)), level, few))
+        now.withColumn("level", F.lit(depth)).write.mode("append").partitionBy("level", "done").parquet(f"{path}/states")
+    turned = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c))
+    out = states.parquet(f"{path}/states").where("done").select(turned("word").alias("word"), "n", turned("node").alias("other"), "other_n")
     if longest > LEVELS:
-        rest = open_.select("word", "n", F.concat("node", F.substring(F.col("word"), F.col("at") + 1, F.length("word"))).alias("other"))
-        out = out.unionByName(rest.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other").select("word", "n", "other", "other_n")).unionByName(tails(words))
+        out = out.unionByName(tails(words))
+    out = cut(out)
+    remove(spark, path)
     return out
 
 
@@ -160,7 +172,8 @@ def group_variants(words: DataFrame, times: int = TIMES) -> DataFrame:
 
 def runs(docs: DataFrame, least: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, run: maximal runs of letters of whole texts, A to Z lower-cased, of `least` code points or more. Null texts have none."""
-    return docs.select(F.col(doc_id).alias("id"), F.explode(F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(LETTERS), F.lit(0))).alias("run")).where(F.length("run") >= least)
+    found = docs.select(F.col(doc_id).alias("id"), F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{LETTERS}{{{least},}}"), F.lit(0))).alias("run"))
+    return found.select("id", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run")).alias("run"))
 
 
 def misspelt(found: DataFrame, one_in: int = 97) -> DataFrame:
