@@ -1,22 +1,54 @@
 """Where intermediate tables go."""
 
 import tempfile
+import uuid
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every machine sees; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which every machine sees. Where it is unset, a session on one machine takes a folder of its own; others raise."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines see")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
+        _gone_at_exit(spark, found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
+        _gone_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
+    """The same rows, computed once and kept in the shared folder until the driver ends."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, in columns, so that a later reader takes only those it needs: for tables of many rows that are used several times."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _gone_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KNOWN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def once(tx: DataFrame, name: str, build: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """build(), computed once for each tx and name, however many parts of a query ask for it."""
+    own = _KNOWN.setdefault(tx, {})
+    if name not in own:
+        own[name] = keep(build())
+    return own[name]

@@ -5,11 +5,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import period_start, revenue
-from ..functions.store import cut
 from .features import category_map
 
 
-
 def _flagged(tx: DataFrame, drop: float) -> DataFrame:
     base = tx.groupBy("stockcode").agg(F.percentile("price", 0.9).alias("_base"))
     t = tx.join(base, "stockcode").withColumn("price_drop_pct", (F.col("_base") - F.col("price")) / F.col("_base"))
@@ -250,32 +248,6 @@ def promo_panel(tx: DataFrame, promos: DataFrame) -> DataFrame:
     return t.select("stockcode", "week", "is_promo", "log_units", "log_price", F.lag("log_units").over(W.partitionBy("stockcode").orderBy("week")).alias("lag_log_units"))
 
 
-def two_way_effect(panel: DataFrame, rounds: int = 30) -> DataFrame:
-    """One row: effect of promotion on log units with product and week effects and log price taken out, and its error by product clusters.
-
-    Product and week means are taken off by turns; each round is two windows over the panel.
-    """
-    names = ["log_units", "promo", "log_price"]
-    t = panel.select("stockcode", "week", "log_units", F.col("is_promo").cast("double").alias("promo"), "log_price")
-    for k in range(rounds):
-        for key in ("stockcode", "week"):
-            w = W.partitionBy(key)
-            t = t.select("stockcode", "week", *[(F.col(n) - F.avg(n).over(w)).alias(n) for n in names])
-        if k % 5 == 4:
-            t = cut(t)
-    y, d, p = (F.col(n) for n in names)
-    m = t.agg(F.sum(d * d).alias("dd"), F.sum(p * p).alias("pp"), F.sum(d * p).alias("dp"), F.sum(y * d).alias("yd"), F.sum(y * p).alias("yp"), F.count("*").alias("n_obs"), F.countDistinct("stockcode").alias("g"))
-    det = F.col("dd") * F.col("pp") - F.col("dp") * F.col("dp")
-    m = m.withColumns({"effect": (F.col("yd") * F.col("pp") - F.col("yp") * F.col("dp")) / det, "price_effect": (F.col("yp") * F.col("dd") - F.col("yd") * F.col("dp")) / det})
-    one = t.crossJoin(F.broadcast(m))
-    # the part of promotion that price does not tell, times the residual, summed within clusters
-    score = F.sum((d - F.col("dp") / F.col("pp") * p) * (y - F.col("effect") * d - F.col("price_effect") * p))
-    meat = one.groupBy("stockcode").agg(score.alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("meat"))
-    g = F.col("g")
-    se = F.sqrt(F.col("meat") * g / (g - 1)) / F.abs(F.col("dd") - F.col("dp") * F.col("dp") / F.col("pp"))
-    return m.crossJoin(F.broadcast(meat)).select("effect", se.alias("std_error"), "price_effect", "n_obs", g.alias("n_products"))
-
-
 def baseline_revenue(tx: DataFrame, promos: DataFrame) -> DataFrame:
     """Mean weekly revenue of each product in weeks without promotion."""
     return weekly_sales(tx, promos).where("NOT is_promo").groupBy("stockcode").agg(F.avg("actual_revenue").alias("baseline_weekly_revenue"), F.count("*").alias("n_weeks"))

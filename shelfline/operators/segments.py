@@ -4,21 +4,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ranked
+from ..functions.ranks import quantiles, ranked
 from ..functions.scalar import revenue, safe_divide
+from ..functions.store import cut
 
-#: Names of recency, frequency and monetary scores.
+#: Segment of each recency, frequency and monetary score.
 RFM_NAMES = {
-    "Champions": ["444", "443", "434", "344"],
-    "Loyal": ["442", "433", "432", "343", "334"],
-    "Potential Loyalists": ["424", "423", "333", "324"],
-    "New Customers": ["441", "431", "422", "342"],
-    "Promising": ["421", "332", "323"],
-    "Need Attention": ["322", "233", "232"],
-    "About to Sleep": ["223", "222", "133"],
-    "At Risk": ["221", "212", "123", "122"],
-    "Cannot Lose Them": ["211", "113", "112"],
-    "Lost": ["111"],
+    "444": "Champions",
+    "443": "Champions",
+    "434": "Champions",
+    "344": "Champions",
+    "442": "Loyal",
+    "433": "Loyal",
+    "432": "Loyal",
+    "343": "Loyal",
+    "334": "Loyal",
+    "424": "Potential Loyalists",
+    "423": "Potential Loyalists",
+    "333": "Potential Loyalists",
+    "324": "Potential Loyalists",
+    "441": "New Customers",
+    "431": "New Customers",
+    "422": "New Customers",
+    "342": "New Customers",
+    "421": "Promising",
+    "332": "Promising",
+    "323": "Promising",
+    "322": "Need Attention",
+    "233": "Need Attention",
+    "232": "Need Attention",
+    "223": "About to Sleep",
+    "222": "About to Sleep",
+    "133": "About to Sleep",
+    "221": "At Risk",
+    "212": "At Risk",
+    "123": "At Risk",
+    "122": "At Risk",
+    "211": "Cannot Lose Them",
+    "113": "Cannot Lose Them",
+    "112": "Cannot Lose Them",
+    "111": "Lost",
 }
 
 
@@ -57,7 +82,7 @@ def rfm_segments(rfm: DataFrame) -> DataFrame:
         scored = with_quartile(scored, c, name, "customer_id")
     scored = scored.withColumn("recency_score", 5 - F.col("recency_score"))
     code = F.concat(F.col("recency_score").cast("string"), F.col("frequency_score").cast("string"), F.col("monetary_score").cast("string"))
-    names = F.create_map(*[F.lit(x) for name, codes in RFM_NAMES.items() for c in codes for x in (c, name)])
+    names = F.create_map(*[F.lit(x) for pair in RFM_NAMES.items() for x in pair])
     return scored.withColumn("rfm_score", code).withColumn("segment", F.coalesce(F.try_element_at(names, F.col("rfm_score")), F.lit("Other")))
 
 
@@ -75,8 +100,8 @@ def behavioral_features(tx: DataFrame) -> DataFrame:
 
 def value_segments(tx: DataFrame, horizon_days: int = 90) -> DataFrame:
     """Two-year value from history before the horizon, with what came after it, and a named segment."""
-    cut = F.broadcast(tx.agg((F.max("date") - F.expr(f"INTERVAL {int(horizon_days)} DAYS")).alias("_cut")))
-    t = tx.crossJoin(cut)
+    end = F.broadcast(tx.agg((F.max("date") - F.expr(f"INTERVAL {int(horizon_days)} DAYS")).alias("_cut")))
+    t = tx.crossJoin(end)
     old = F.col("date") < F.col("_cut")
     h = F.when(old, revenue())
     f = t.groupBy("customer_id").agg(
@@ -86,17 +111,18 @@ def value_segments(tx: DataFrame, horizon_days: int = 90) -> DataFrame:
     life = F.greatest(F.col("lifetime_days"), F.lit(1))
     alive = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("recency") / (life + F.col("recency"))))
     f = f.withColumn("predicted_clv", F.col("monetary") / (life / 365) * alive * 2)
-    q = F.broadcast(f.agg(F.percentile("predicted_clv", F.array(F.lit(0.8), F.lit(0.6))).alias("_q")))
+    f = cut(f)
+    q = F.broadcast(quantiles(f, "predicted_clv", {"_top": 0.8, "_mid": 0.6}))
     more = F.col("frequency") > 1
     name = (
-        F.when((F.col("predicted_clv") > F.col("_q")[0]) & (F.col("recency") < 30) & more, "VIP")
-        .when((F.col("predicted_clv") > F.col("_q")[1]) & (F.col("recency") < 60) & more, "High Potential")
+        F.when((F.col("predicted_clv") > F.col("_top")) & (F.col("recency") < 30) & more, "VIP")
+        .when((F.col("predicted_clv") > F.col("_mid")) & (F.col("recency") < 60) & more, "High Potential")
         .when((F.col("frequency") > 5) & (F.col("recency") < 90), "Loyal")
         .when((F.col("frequency") == 1) & (F.col("recency") < 30), "New")
         .when(F.col("recency") > 180, "Churned")
         .otherwise("Regular")
     )
-    return f.crossJoin(q).withColumn("value_segment", name).drop("_q")
+    return f.crossJoin(q).withColumn("value_segment", name).drop("_top", "_mid")
 
 
 def kaplan_meier(tx: DataFrame, window_days: int = 365) -> DataFrame:
@@ -104,9 +130,9 @@ def kaplan_meier(tx: DataFrame, window_days: int = 365) -> DataFrame:
 
     The curve has a row per different duration, so its running product is over the calendar, not the customers.
     """
-    cut = F.broadcast(tx.agg((F.max("date") - F.expr(f"INTERVAL {int(window_days)} DAYS")).alias("_cut")))
+    end = F.broadcast(tx.agg((F.max("date") - F.expr(f"INTERVAL {int(window_days)} DAYS")).alias("_cut")))
     old = F.col("date") < F.col("_cut")
-    one = tx.crossJoin(cut).groupBy("customer_id").agg(F.datediff(F.max(F.when(old, F.col("date"))), F.min(F.when(old, F.col("date")))).alias("duration"), F.max((~old).cast("int")).alias("event")).where("duration IS NOT NULL")
+    one = tx.crossJoin(end).groupBy("customer_id").agg(F.datediff(F.max(F.when(old, F.col("date"))), F.min(F.when(old, F.col("date")))).alias("duration"), F.max((~old).cast("int")).alias("event")).where("duration IS NOT NULL")
     t = one.groupBy("duration").agg(F.sum("event").alias("d"), F.count("*").alias("c"))
     at_risk = F.sum("c").over(W.orderBy(F.desc("duration")).rowsBetween(W.unboundedPreceding, 0))
     t = t.withColumn("n", at_risk).withColumn("step", F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))))
@@ -127,9 +153,12 @@ def segment_value_metrics(segments: DataFrame, tx: DataFrame) -> DataFrame:
 def segment_concentration(segments: DataFrame, tx: DataFrame) -> DataFrame:
     """Gini coefficient and moments of customer revenue within each segment."""
     own = segments.join(tx.groupBy("customer_id").agg(F.sum(revenue()).alias("r")), "customer_id")
-    ranked = own.withColumn("i", F.row_number().over(W.partitionBy("segment").orderBy("r", "customer_id")))
+    rows = ranked(own.select("segment", "customer_id", "r"), "segment", "r", "customer_id")
+    size = rows.groupBy("segment").agg(F.min("rank").alias("_first"), F.count("*").alias("_n"))
+    rows = rows.join(F.broadcast(size), "segment").withColumn("i", F.col("rank") - F.col("_first") + 1)  # a row per segment
+    middle = F.abs(2 * F.col("i") - F.col("_n") - 1) <= 1
     gini = 2 * F.sum(F.col("i") * F.col("r")) / (F.count("*") * F.sum("r")) - (F.count("*") + 1) / F.count("*")
-    return ranked.groupBy("segment").agg(F.count("*").alias("n_customers"), gini.alias("gini"), F.avg("r").alias("mean_revenue"), F.percentile("r", 0.5).alias("median_revenue"), F.stddev_samp("r").alias("std_revenue"))
+    return rows.groupBy("segment").agg(F.count("*").alias("n_customers"), gini.alias("gini"), F.avg("r").alias("mean_revenue"), F.avg(F.when(middle, F.col("r"))).alias("median_revenue"), F.stddev_samp("r").alias("std_revenue"))
 
 
 def purchase_streak(tx: DataFrame) -> DataFrame:
@@ -166,10 +195,24 @@ def segment_categories(segments: DataFrame, tx: DataFrame) -> DataFrame:
     return g.join(size, "segment").select("segment", "category", "revenue", "customers", (share * 100).alias("revenue_pct"), (share / usual).alias("affinity_index"), (F.col("customers") / F.col("_n") * 100).alias("penetration_pct"))
 
 
+def middle_second(tx: DataFrame) -> DataFrame:
+    """One row, _m: the median time of the lines, from how many there are at each second."""
+    n = cut(tx.groupBy(F.unix_timestamp("date").cast("double").alias("s")).agg(F.count("*").alias("k")))
+    # a place among all lines is that of the first line of a second plus what the second holds
+    r = ranked(n, "s")
+    sums = r.groupBy("range").agg(F.sum("k").alias("b"))
+    before = sums.select("range", (F.sum("b").over(W.orderBy("range")) - F.col("b")).alias("b"), F.sum("b").over(W.partitionBy()).alias("total"))
+    upto = F.sum("k").over(W.partitionBy("range").orderBy("s").rowsBetween(W.unboundedPreceding, 0)) + F.col("b")
+    placed = r.join(F.broadcast(before), "range").select("s", "total", (upto - F.col("k")).alias("from"), upto.alias("to"))
+    at = lambda bound: F.max(F.when((F.col("from") <= bound) & (bound < F.col("to")), F.col("s")))
+    half = (F.col("total") - 1) / 2
+    return placed.agg(((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("_m"))
+
+
 def segment_growth(segments: DataFrame, tx: DataFrame) -> DataFrame:
     """Second half of the lines' time against the first, split at the median date; segments with lines in both."""
     seconds = F.unix_timestamp("date").cast("double")
-    middle = F.broadcast(tx.agg(F.percentile(seconds, 0.5).alias("_m")))
+    middle = F.broadcast(middle_second(tx))
     t = _of_segment(segments, tx).crossJoin(middle).withColumn("_late", seconds > F.col("_m"))
     names = {"revenue": F.sum(revenue()), "customers": F.countDistinct("customer_id"), "transactions": F.countDistinct("transaction_id"), "aov": F.avg(revenue())}
     g = t.groupBy("segment", "_late").agg(*[c.alias(n) for n, c in names.items()])
@@ -208,7 +251,8 @@ def segment_engagement(segments: DataFrame, tx: DataFrame) -> DataFrame:
 def segment_baskets(segments: DataFrame, tx: DataFrame) -> DataFrame:
     """Means over each segment's baskets, and shares above the median value and below half of it."""
     b = _of_segment(segments, tx).groupBy("segment", "customer_id", "transaction_id").agg(F.round(F.sum(revenue()), 2).alias("v"), F.sum("quantity").alias("u"), F.countDistinct("stockcode").alias("s"), F.countDistinct("category").alias("c"))
-    mid = b.groupBy("segment").agg(F.percentile("v", 0.5).alias("_m"))
+    b = cut(b)
+    mid = F.broadcast(quantiles(b, "v", {"_m": 0.5}, "segment"))  # a row per segment
     share = lambda e: F.count_if(e) / F.count("*") * 100
     return b.join(mid, "segment").groupBy("segment").agg(
         F.count("*").alias("n_baskets"), F.avg("v").alias("avg_basket_value"), F.avg("u").alias("avg_units_per_basket"), F.avg("s").alias("avg_skus_per_basket"), F.avg("c").alias("avg_categories_per_basket"),
@@ -219,7 +263,7 @@ def segment_baskets(segments: DataFrame, tx: DataFrame) -> DataFrame:
 def segment_retention(segments: DataFrame, tx: DataFrame) -> DataFrame:
     """Customers of each segment in the first and second half of the time, and how many of the first came back."""
     seconds = F.unix_timestamp("date").cast("double")
-    middle = F.broadcast(tx.agg(F.percentile(seconds, 0.5).alias("_m")))
+    middle = F.broadcast(middle_second(tx))
     late = seconds > F.col("_m")
     c = _of_segment(segments, tx).crossJoin(middle).groupBy("segment", "customer_id").agg(F.max(late).alias("second"), F.max(~late).alias("first"), F.countDistinct("transaction_id").alias("n"))
     g = c.groupBy("segment").agg(F.count_if("first").alias("n_first"), F.count_if(F.col("first") & F.col("second")).alias("n_kept"), (F.count_if(F.col("n") > 1) / F.count("*") * 100).alias("repeat_customer_pct"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.store import once, stored
 from ..operators import category as C
 from ..operators import pricing as P
 from ..operators import promo as M
@@ -36,7 +37,7 @@ RFM = f"""rfm AS (SELECT customer_id, max(date) AS last_purchase, min(date) AS f
 register("rfm_features", S.rfm_features, f"""WITH {RFM} SELECT *, CASE WHEN frequency > 1 THEN customer_lifetime_days / (frequency - 1) ELSE customer_lifetime_days END AS purchase_interval, n_items / frequency AS items_per_order,
 monetary / n_items AS revenue_per_item, coalesce(std_order_value, 0) / avg_order_value AS order_value_cv FROM rfm""", "monetary:2 avg_order_value:5 max_order_value:2 n_items:2 avg_price_paid:5 std_order_value:4 purchase_interval items_per_order revenue_per_item:5 order_value_cv")
 QUART = lambda c: f"CASE WHEN row_number() OVER (ORDER BY {c}, customer_id) <= 1 + (count(*) OVER () - 1) * 0.25 THEN 1 WHEN row_number() OVER (ORDER BY {c}, customer_id) <= 1 + (count(*) OVER () - 1) * 0.5 THEN 2 WHEN row_number() OVER (ORDER BY {c}, customer_id) <= 1 + (count(*) OVER () - 1) * 0.75 THEN 3 ELSE 4 END"
-NAMED = " ".join(f"WHEN rfm_score IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'" for name, codes in S.RFM_NAMES.items())
+NAMED = " ".join(f"WHEN rfm_score = '{c}' THEN '{name}'" for c, name in S.RFM_NAMES.items())
 SEG = f"""{RFM}, sc AS (SELECT customer_id, recency_days, frequency, round(monetary, 2) AS monetary, 5 - {QUART('recency_days')} AS recency_score, {QUART('frequency')} AS frequency_score, {QUART('monetary')} AS monetary_score FROM rfm),
 seg AS (SELECT *, CASE {NAMED} ELSE 'Other' END AS segment FROM (SELECT *, concat(recency_score, frequency_score, monetary_score) AS rfm_score FROM sc))"""
 register("rfm_segments", lambda tx: S.rfm_segments(S.rfm_features(tx)), f"WITH {SEG} SELECT * FROM seg", "monetary:2")
@@ -52,7 +53,7 @@ register("kaplan_meier", S.kaplan_meier, """WITH c AS (SELECT max(date) - INTERV
 o AS (SELECT customer_id, date_diff('day', CAST(min(date) FILTER (date < cut) AS DATE), CAST(max(date) FILTER (date < cut) AS DATE)) AS duration, max(CASE WHEN date >= cut THEN 1 ELSE 0 END) AS event FROM tx, c GROUP BY 1),
 t AS (SELECT duration, sum(event) AS d, count(*) AS c FROM o WHERE duration IS NOT NULL GROUP BY 1), n AS (SELECT *, sum(c) OVER (ORDER BY duration DESC) AS n FROM t)
 SELECT CAST(duration AS INTEGER) AS timeline, CASE WHEN max(CASE WHEN d >= n THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(coalesce(sum(CASE WHEN d < n THEN ln(1 - d / n) END) OVER w, 0)) END AS survival_prob FROM n WINDOW w AS (ORDER BY duration)""", "survival_prob")
-segs = lambda tx: S.rfm_segments(S.rfm_features(tx)).select("customer_id", "segment")
+segs = lambda tx: once(tx, "segs", lambda: S.rfm_segments(S.rfm_features(tx)).select("customer_id", "segment"))
 register("segment_value_metrics", lambda tx: S.segment_value_metrics(segs(tx), tx), f"""WITH {SEG}, o AS (SELECT customer_id, {R} AS r, count(DISTINCT transaction_id) AS t FROM tx GROUP BY 1),
 g AS (SELECT segment, count(*) AS n_customers, sum(r) AS revenue, CAST(sum(t) AS BIGINT) AS transactions FROM seg JOIN o USING (customer_id) GROUP BY 1)
 SELECT *, n_customers / sum(n_customers) OVER () AS customer_share, revenue / sum(revenue) OVER () AS revenue_share, revenue / n_customers AS revenue_per_customer, transactions / n_customers AS transactions_per_customer, (revenue / sum(revenue) OVER ()) / (n_customers / sum(n_customers) OVER ()) AS concentration_index FROM g""", "revenue:2 customer_share revenue_share revenue_per_customer:4 transactions_per_customer concentration_index")
@@ -78,7 +79,7 @@ kg AS (SELECT *, coalesce(abs_elasticity, (SELECT coalesce(quantile_cont(abs_ela
 kz AS (SELECT *, 0.30 * {Z('basket_penetration')} + 0.25 * {Z('total_revenue')} + 0.15 * {Z('ae')} + 0.10 * {Z('customers')} + 0.20 * {Z('rpc')} AS z FROM kg),
 kvi AS (SELECT stockcode, category, (z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ()) AS kvi_score, total_revenue, basket_penetration, basket_penetration AS trip_incidence, abs_elasticity, CASE WHEN abs_elasticity IS NULL THEN 'unavailable' ELSE 'estimated' END AS elasticity_status FROM kz)"""
 KD = "kvi_score total_revenue:2 basket_penetration trip_incidence abs_elasticity"
-kvi = lambda tx: P.kvi_scores(tx, P.own_price_elasticity(tx))
+kvi = lambda tx: once(tx, "kvi", lambda: P.kvi_scores(tx, P.own_price_elasticity(tx)))
 MID = "(SELECT quantile_cont(kvi_score, 0.5) FROM kvi)"
 CUT = lambda u, a, b, c, d: f"CASE WHEN abs_elasticity IS NULL THEN '{u}' WHEN kvi_score >= {MID} AND abs_elasticity >= 1 THEN '{a}' WHEN kvi_score >= {MID} THEN '{b}' WHEN abs_elasticity >= 1 THEN '{c}' ELSE '{d}' END"
 register("kvi_scores", kvi, f"WITH {KVI} SELECT * FROM kvi", KD)
@@ -97,9 +98,9 @@ PR = f"""{PX}, bp AS (SELECT stockcode, quantile_cont(price, 0.9) AS base FROM p
 pd AS (SELECT DISTINCT stockcode, d FROM fl WHERE is_promo), pg AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER (PARTITION BY stockcode ORDER BY d), d) <= 1 THEN 0 ELSE 1 END AS o FROM pd),
 pi AS (SELECT *, sum(o) OVER (PARTITION BY stockcode ORDER BY d) AS run FROM pg), pp AS (SELECT stockcode, run, min(d) AS start_date, max(d) AS end_date, CAST(date_diff('day', min(d), max(d)) + 1 AS INTEGER) AS duration_days FROM pi GROUP BY 1, 2 HAVING date_diff('day', min(d), max(d)) + 1 BETWEEN 3 AND 60),
 mk AS (SELECT px.*, EXISTS (SELECT 1 FROM pp WHERE pp.stockcode = px.stockcode AND CAST(px.date AS DATE) BETWEEN start_date AND end_date) AS is_promo FROM px)"""
-prices = lambda tx: tx.withColumn("price", 100 * (1 - F.col("discount")))
-found = lambda tx: M.detect_promotions(prices(tx), DROP)
-register("detect_promotions", found, f"""WITH {PR}, own AS (SELECT fl.stockcode, run, avg(drop_pct) * 100 AS avg_discount_pct, {R} AS promo_revenue, sum(quantity) AS promo_qty, count(DISTINCT transaction_id) AS promo_orders, count(DISTINCT customer_id) AS promo_customers, avg(price) AS avg_promo_price FROM fl JOIN pi ON fl.stockcode = pi.stockcode AND fl.d = pi.d WHERE is_promo GROUP BY 1, 2),
+prices = lambda tx: once(tx, "prices", lambda: tx.withColumn("price", 100 * (1 - F.col("discount"))).drop("product", "brand", "size", "discount"), stored)
+found = lambda tx: once(tx, "found", lambda: M.detect_promotions(prices(tx), DROP))
+register("detect_promotions", lambda tx: M.detect_promotions(prices(tx), DROP), f"""WITH {PR}, own AS (SELECT fl.stockcode, run, avg(drop_pct) * 100 AS avg_discount_pct, {R} AS promo_revenue, sum(quantity) AS promo_qty, count(DISTINCT transaction_id) AS promo_orders, count(DISTINCT customer_id) AS promo_customers, avg(price) AS avg_promo_price FROM fl JOIN pi ON fl.stockcode = pi.stockcode AND fl.d = pi.d WHERE is_promo GROUP BY 1, 2),
 b AS (SELECT stockcode, {R} AS baseline_revenue, sum(quantity) AS baseline_qty, count(DISTINCT transaction_id) AS baseline_orders, count(DISTINCT customer_id) AS baseline_customers, avg(price) AS avg_baseline_price FROM fl WHERE NOT is_promo GROUP BY 1), n AS (SELECT count(DISTINCT date) AS n FROM fl WHERE NOT is_promo)
 SELECT stockcode, start_date, end_date, duration_days, avg_discount_pct, promo_revenue, promo_qty, promo_orders, promo_customers, avg_promo_price, baseline_revenue, baseline_qty, baseline_orders, baseline_customers, avg_baseline_price,
 promo_qty / duration_days / (baseline_qty / n) - 1 AS qty_lift, promo_revenue / duration_days / (baseline_revenue / n) - 1 AS revenue_lift FROM pp JOIN own USING (stockcode, run) JOIN b USING (stockcode), n""", "avg_discount_pct promo_revenue:2 promo_qty:2 avg_promo_price:5 baseline_revenue:2 baseline_qty:2 avg_baseline_price:5 qty_lift revenue_lift")
