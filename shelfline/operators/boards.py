@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.scalar import period_start, revenue, safe_divide
+from ..functions.store import cut
 
 
 def middle(c: str | Column, share: float = 0.5) -> Column:
@@ -187,8 +189,9 @@ def _strongest(pairs: DataFrame) -> DataFrame:
 
 def affinity_quadrants(pairs: DataFrame, tx: DataFrame) -> DataFrame:
     """Products by their strongest affinity, against the median of all pairs, and by revenue."""
-    cut = F.broadcast(pairs.agg(F.percentile("affinity", 0.5).alias("_cut")))
-    t = _strongest(pairs).join(_own(tx, "stockcode").drop("customers"), "stockcode").crossJoin(cut)
+    pairs = cut(pairs)
+    edge = F.broadcast(quantiles(pairs, "affinity", {"_cut": 0.5}))
+    t = _strongest(pairs).join(_own(tx, "stockcode").drop("customers"), "stockcode").crossJoin(edge)
     near, rich = F.col("affinity_intensity") > F.col("_cut"), F.col("revenue") > middle("revenue")
     return t.withColumn("quadrant", quadrant(near, rich, "basket_anchors", "niche", "growth_attachments", "low_priority")).drop("_cut")
 
@@ -270,9 +273,9 @@ def revenue_risk(sdp: DataFrame, tx: DataFrame) -> DataFrame:
 
 def high_value_lines(tx: DataFrame, share: float = 0.8) -> DataFrame:
     """Lines of the customers whose revenue reaches a quantile of all customers' revenue."""
-    own = tx.groupBy("customer_id").agg(F.round(F.sum(revenue()), 2).alias("_r"))
-    cut = F.broadcast(own.agg(F.percentile("_r", share).alias("_cut")))
-    return tx.join(own.crossJoin(cut).where("_r >= _cut"), "customer_id", "left_semi")
+    own = cut(tx.groupBy("customer_id").agg(F.round(F.sum(revenue()), 2).alias("_r")))
+    edge = F.broadcast(quantiles(own, "_r", {"_edge": share}))
+    return tx.join(own.crossJoin(edge).where("_r >= _edge"), "customer_id", "left_semi")
 
 
 def switching_flows(transference: DataFrame, impact: DataFrame, top: int = 15) -> DataFrame:

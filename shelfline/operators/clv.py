@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.scalar import revenue
+from ..functions.store import cut
 
 #: Bins of ln(value) a unit: values of a bin differ by 0.2 % at most.
 VALUE_BINS = 500
@@ -69,7 +71,7 @@ def bg_nbd_loss(p: np.ndarray, x, tx, t, w) -> float:
     one = lgamma(r + x) - math.lgamma(r) + r * np.log(alpha)
     two = math.lgamma(a + b) + lgamma(b + x) - math.lgamma(b) - lgamma(a + b + x)
     alive = -(r + x) * np.log(alpha + t)
-    gone = np.where(x > 0, np.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + tx), -np.inf)
+    gone = np.where(x > 0, np.log(a) - np.log(np.maximum(b + np.maximum(x, 1) - 1, 1e-300)) - (r + x) * np.log(alpha + tx), -np.inf)
     like = one + two + np.logaddexp(alive, gone)
     return float(-(w * like).sum() / w.sum() + 0.001 * (np.exp(p) ** 2).sum() / 100)
 
@@ -104,20 +106,23 @@ def fit_gamma_gamma(summary: DataFrame) -> np.ndarray:
     return np.array([p, q, v * scale])
 
 
-def _hyp2f1(a, b, c, z, terms: int = 400):
-    """The hypergeometric series for 0 <= z < 1."""
-    total, term = np.ones_like(z), np.ones_like(z)
+def _hyp2f1(a, b, c, z, terms: int = 1_000_000):
+    """The hypergeometric series for 0 <= z < 1. Raises where it doesn't settle."""
+    total, term, open_ = np.ones_like(z), np.ones_like(z), np.arange(len(z))
     for k in range(terms):
-        term = term * (a + k) * (b + k) / ((c + k) * (k + 1)) * z
-        total = total + term
-        if np.all(np.abs(term) < 1e-10 * np.abs(total)):
-            break
-    return total
+        term[open_] *= (a[open_] + k) * (b[open_] + k) / ((c[open_] + k) * (k + 1)) * z[open_]
+        total[open_] += term[open_]
+        # terms grow before they fall: a small one counts once their ratio stays under 1
+        ratio = (a[open_] + k) * (b[open_] + k) / ((c[open_] + k) * (k + 1)) * z[open_]
+        open_ = open_[(np.abs(term[open_]) >= 1e-12 * np.abs(total[open_])) | (ratio >= 1)]
+        if not len(open_):
+            return total
+    raise ArithmeticError("the hypergeometric series does not settle")
 
 
 def predict_clv(tx: DataFrame, horizon_days: int = 90, annual_rate: float = 0.0) -> DataFrame:
     """Per customer: chance to be alive, expected purchases and value over the horizon, and the quartile of the value."""
-    s = purchase_summary(tx).persist()
+    s = cut(purchase_summary(tx))
     bg, gg = fit_bg_nbd(s), fit_gamma_gamma(s)
     r, alpha, a, b = (float(x) for x in bg)
     p, q, v = (float(x) for x in gg)
@@ -145,6 +150,8 @@ def predict_clv(tx: DataFrame, horizon_days: int = 90, annual_rate: float = 0.0)
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
     out = s.select(F.col("customer_id").cast("string"), "frequency", "recency", "T", "monetary_value").mapInArrow(score, schema)
-    cuts = F.broadcast(out.agg(F.percentile("predicted_clv", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")))
-    label = F.when(F.col("predicted_clv") <= F.col("_q")[0], "Low").when(F.col("predicted_clv") <= F.col("_q")[1], "Medium").when(F.col("predicted_clv") <= F.col("_q")[2], "High").otherwise("Very High")
-    return out.crossJoin(cuts).withColumn("clv_segment", label).drop("_q")
+    out = cut(out)
+    edges = F.broadcast(quantiles(out, "predicted_clv", {"_a": 0.25, "_b": 0.5, "_c": 0.75}))
+    value = F.col("predicted_clv")
+    label = F.when(value <= F.col("_a"), "Low").when(value <= F.col("_b"), "Medium").when(value <= F.col("_c"), "High").otherwise("Very High")
+    return out.crossJoin(edges).withColumn("clv_segment", label).drop("_a", "_b", "_c")

@@ -7,7 +7,6 @@ folder. What reaches the driver is one number a round.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import safe_divide
 from ..functions.store import cut
 
 
@@ -126,16 +125,15 @@ def _sum(parts: list[DataFrame], by: list[str], value: str) -> DataFrame:
     return out.groupBy(*by).agg(F.sum(value).alias(value))
 
 
-def markov_substitution(chain: DataFrame, rounds: int = 20, tolerance: float = 1e-6, least: float = 1e-6) -> DataFrame:
-    """Powers of a row-stochastic matrix (src, dst, p) until they settle; entries below `least` are pruned and rows scaled again."""
+def markov_substitution(chain: DataFrame, rounds: int = 500, tolerance: float = 1e-6) -> DataFrame:
+    """Powers of a row-stochastic matrix (src, dst, p) until they settle. Raises where they don't, as those of a periodic chain."""
     base = cut(chain.groupBy("src", "dst").agg(F.sum("p").alias("p")))
     now = base
     for _ in range(rounds):
-        step = now.select("src", F.col("dst").alias("via"), F.col("p").alias("a")).join(base.select(F.col("src").alias("via"), "dst", F.col("p").alias("b")), "via").groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("p")).where(F.col("p") >= least)
-        total = step.groupBy("src").agg(F.sum("p").alias("t"))
-        step = cut(step.join(total, "src").select("src", "dst", safe_divide(F.col("p"), F.col("t")).alias("p")))
+        step = now.select("src", F.col("dst").alias("via"), F.col("p").alias("a")).join(base.select(F.col("src").alias("via"), "dst", F.col("p").alias("b")), "via")
+        step = cut(step.groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("p")))
         moved = step.join(now.withColumnRenamed("p", "old"), ["src", "dst"], "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         now = step
         if moved < tolerance:
-            break
-    return now
+            return now
+    raise ArithmeticError(f"the chain does not settle in {rounds} steps")

@@ -183,7 +183,9 @@ def halo_effect(tx: DataFrame, promos: DataFrame, window_days: int = 7) -> DataF
     d = F.to_date("date")
     own = tx.join(p, (F.col("stockcode") == F.col("promo_product")) & d.between(F.date_sub("start_date", 4 * window_days), F.col("end_date")))
     own = own.select("promo_product", "start_date", "transaction_id", (d >= F.col("start_date")).alias("now")).distinct()
-    t = own.join(tx.select("transaction_id", "stockcode", revenue().alias("r")), "transaction_id").where("stockcode <> promo_product")
+    # a basket meets its promotions with one row per product
+    sums = tx.groupBy("transaction_id", "stockcode").agg(F.sum(revenue()).alias("r"))
+    t = own.join(sums, "transaction_id").where("stockcode <> promo_product")
     part = lambda c, name: [F.sum(F.when(c, F.col("r")).otherwise(0.0)).alias(f"{name}_revenue"), F.countDistinct(F.when(c, F.col("transaction_id"))).alias(f"{name}_orders")]
     g = t.groupBy("promo_product", "start_date", F.col("stockcode").alias("halo_product")).agg(*part(F.col("now"), "halo"), *part(~F.col("now"), "base"))
     return g.withColumn("revenue_lift", F.when(F.col("base_revenue") != 0, (F.col("halo_revenue") / F.col("base_revenue") - 1) * 100))
