@@ -1,7 +1,10 @@
 """Queries on rules, networks, chains, assortments, data quality, attributes, insights, models and events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.store import shared_dir
 from ..operators import affinity as A
 from ..operators import assortment as T
 from ..operators import attributes as X
@@ -151,3 +154,18 @@ def _events(spark, sf_dir):
 register("event_windows", None, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n_events, sum(value) AS value FROM events GROUP BY 1, 2", "value:3", source=lambda s, d: E.windowed_events(_events(s, d)).drop("n_users"))
 register("event_sessions", None, """WITH l AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 7 DAY THEN 0 ELSE 1 END AS o FROM events), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 7 DAY AS "end", count(*) AS n_events, sum(value) AS value FROM g GROUP BY user_id, k""", "value:3", source=lambda s, d: E.sessions(_events(s, d)))
+
+
+def _totals(spark, sf_dir):
+    """The stream over the events table, run to its end, and the last totals it wrote."""
+    folder = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    E.run_to_parquet(E.running_totals(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return E.latest_totals(spark.read.schema(E.TOTALS).parquet(f"{folder}/out"))
+
+
+register("event_running_totals", None, "SELECT user_id, count(*) AS n_events, coalesce(sum(value), 0) AS value, CAST(max(ts) AS TIMESTAMP) AS last_ts FROM events GROUP BY 1", "value:3", source=_totals)
+register("event_control_limits", None, """WITH w AS (SELECT event_type, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS s, sum(value) AS v FROM events, range(7) r(k) GROUP BY 1, 2),
+l AS (SELECT event_type, avg(v) AS centre, avg(v) - 3 * coalesce(stddev_samp(v), 0) AS lower, avg(v) + 3 * coalesce(stddev_samp(v), 0) AS upper FROM w GROUP BY 1)
+SELECT event_type, CAST(s AS TIMESTAMP) AS window_start, v AS value, centre, lower, upper, round(v, 6) < round(lower, 6) OR round(v, 6) > round(upper, 6) AS outside FROM w JOIN l USING (event_type)""", "value:3 centre:3 lower:3 upper:3",
+  source=lambda s, d: E.outside_limits(_events(s, d), E.control_limits(_events(s, d))))
