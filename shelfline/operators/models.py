@@ -10,7 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import revenue
+from ..functions.store import cut
+from .attributes import agreement
 from .segments import behavioral_features
+from .tree import poisson_weight
 
 
 def cluster(features: DataFrame, columns: list[str], k: int, method: str = "kmeans", seed: int = 42) -> DataFrame:
@@ -42,8 +45,8 @@ def cluster_quality(features: DataFrame, columns: list[str], most: int = 6, seed
 
 def choice_features(tx: DataFrame, window_days: int = 30, top_products: int = 50) -> DataFrame:
     """History before the window and the product each customer then buys most (ties to the code that sorts first)."""
-    cut = F.broadcast(tx.agg((F.max("date") - F.expr(f"INTERVAL {int(window_days)} DAYS")).alias("_cut")))
-    t = tx.crossJoin(cut)
+    end = F.broadcast(tx.agg((F.max("date") - F.expr(f"INTERVAL {int(window_days)} DAYS")).alias("_cut")))
+    t = tx.crossJoin(end)
     top = tx.groupBy("stockcode").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stockcode").limit(top_products)
     new = t.where("date >= _cut").join(top, "stockcode", "left_semi").groupBy("customer_id", "stockcode").agg(F.sum("quantity").alias("q"))
     target = new.groupBy("customer_id").agg(F.min(F.struct((-F.col("q")).alias("m"), "stockcode"))["stockcode"].alias("target"))
@@ -60,3 +63,22 @@ def train_choice_model(features: DataFrame, depth: int = 4, least: int = 10, see
     scored = model.transform(features.where(held))
     value = lambda m: float(MulticlassClassificationEvaluator(metricName=m).evaluate(scored))
     return model, features.sparkSession.createDataFrame([(value("accuracy"), value("f1"))], "accuracy double, f1 double")
+
+
+def cluster_stability(features: DataFrame, columns: list[str], k: int, key: str = "customer_id", resamples: int = 5, seed: int = 42) -> DataFrame:
+    """draw, ari: agreement (adjusted Rand index) of k-means on resamples with that on all rows, over all rows.
+
+    A resample weighs rows by Poisson weights of their key; its model then places every row. One job per draw, whose number is fixed.
+    """
+    z = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True)]).fit(features).transform(features).select(F.col(key).alias("stockcode"), "_z")
+    z = cut(z)
+    group = lambda rows: KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="group", weightCol="_w").fit(rows).transform(z.withColumn("_w", F.lit(1.0))).select("stockcode", "group")
+    base = cut(group(z.withColumn("_w", F.lit(1.0))))
+    parts = []
+    for draw in range(1, resamples + 1):
+        drawn = z.withColumn("_w", poisson_weight(seed + draw, "stockcode").cast("double")).where("_w > 0")
+        parts.append(agreement(base, group(drawn)).select(F.lit(draw).alias("draw"), "ari"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

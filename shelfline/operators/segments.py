@@ -275,3 +275,40 @@ def segment_prices(segments: DataFrame, tx: DataFrame) -> DataFrame:
     usual = tx.groupBy("stockcode").agg(F.avg("price").alias("_p"))
     t = _of_segment(segments, tx).join(usual, "stockcode")
     return t.groupBy("segment").agg(F.avg("price").alias("avg_price"), (F.stddev_samp("price") / F.avg("price")).alias("price_cv"), F.avg(F.col("price") / F.col("_p")).alias("price_index"), (F.count_if(F.col("price") < F.col("_p")) / F.count("*") * 100).alias("below_usual_pct"))
+
+
+def halves(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines up to the median time of all lines, and those after it."""
+    t = tx.crossJoin(F.broadcast(middle_second(tx)))
+    late = F.unix_timestamp("date").cast("double") > F.col("_m")
+    return t.where(~late).drop("_m"), t.where(late).drop("_m")
+
+
+def segment_migration(before: DataFrame, after: DataFrame, min_customers: int = 5) -> DataFrame:
+    """Customers by their segment in two tables (customer_id, segment), with the share of each first segment and whether they stayed.
+
+    First segments with fewer customers in both are left out.
+    """
+    j = before.select("customer_id", F.col("segment").alias("segment_from")).join(after.select("customer_id", F.col("segment").alias("segment_to")), "customer_id")
+    n = j.groupBy("segment_from", "segment_to").agg(F.count("*").alias("customers"))
+    n = n.withColumn("_n", F.sum("customers").over(W.partitionBy("segment_from"))).where(F.col("_n") >= min_customers)
+    stay = F.when(F.col("segment_from") == F.col("segment_to"), F.col("customers") / F.col("_n")).otherwise(0.0)
+    return n.select("segment_from", "segment_to", "customers", (F.col("customers") / F.col("_n")).alias("share"), stay.alias("retention_rate"))
+
+
+def segment_radar(segments: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
+    """segment, metric, mean, and where the mean lies between the least and largest of all segments (0 to 1, 0.5 where they are equal)."""
+    means = segments.join(features, "customer_id").groupBy("segment").agg(*[F.avg(c).alias(c) for c in names])
+    long = means.select("segment", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("mean")) for c in names])))
+    w = W.partitionBy("metric")  # a row per segment
+    low, high = F.min("mean").over(w), F.max("mean").over(w)
+    return long.withColumn("scaled", F.when(high - low > 1e-12, (F.col("mean") - low) / (high - low)).otherwise(0.5))
+
+
+def segment_distinctiveness(segments: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
+    """segment, n_customers, distinctiveness: mean distance of a segment's means from those of all customers, in their deviations."""
+    t = segments.join(features, "customer_id")
+    whole = t.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    own = t.groupBy("segment").agg(F.count("*").alias("n_customers"), *[F.avg(c).alias(c) for c in names]).crossJoin(F.broadcast(whole))
+    far = [F.when(F.col(f"s_{c}") > 1e-12, F.abs(F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c in names]
+    return own.select("segment", "n_customers", (sum(far[1:], far[0]) / len(names)).alias("distinctiveness"))

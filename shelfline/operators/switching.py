@@ -126,3 +126,36 @@ def switching_by_phase(tx: DataFrame, events: DataFrame, lookup: DataFrame, **ho
         own = category_switching(event_slices(tx, events).where(F.col("phase") == phase).drop("phase"), lookup, **how).withColumn("phase", F.lit(phase))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+#: Switch rate and revenue share of strong and moderate substitution.
+STRONG, MODERATE = (0.3, 0.1), (0.15, 0.05)
+
+
+def substitution_strength(transference: DataFrame, sdp: DataFrame, tx: DataFrame) -> DataFrame:
+    """Each pair's switching as substitution, movement (most demand is substitutable) or loyalty (hardly any is), with strength and confidence."""
+    own = tx.groupBy(F.col("stockcode").alias("from_product")).agg(F.sum(revenue()).alias("_r"))
+    t = transference.join(own, "from_product", "left").join(sdp.select(F.col("stockcode").alias("from_product"), "sdp"), "from_product", "left").fillna(0.5, ["sdp"])
+    risk = F.col("observed_switching_transfer_revenue")
+    # rounded, so that shares on a threshold stay there
+    share, rate, sdp_ = F.round(safe_divide(risk, F.col("_r")), 9), F.round("switch_rate", 9), F.round("sdp", 9)
+    strength = F.when((rate >= STRONG[0]) & (share >= STRONG[1]), "strong").when((rate >= MODERATE[0]) & (share >= MODERATE[1]), "moderate").otherwise("weak")
+    t = t.withColumn("substitution_strength", strength)
+    firm = F.col("substitution_strength") != "weak"
+    kind = F.when(firm & (share >= 0.1), "substitution").when(~firm & (sdp_ >= 0.8), "movement").when((share < 0.05) & (sdp_ < 0.2), "loyalty").otherwise("insufficient_evidence")
+    sure = F.when((F.col("substitution_strength") == "strong") & (share >= 0.15), "high").when((F.col("substitution_strength") == "moderate") & (share >= 0.05), "medium").otherwise("low")
+    return t.select("from_product", "to_product", "switch_rate", risk.alias("revenue_at_risk"), "substitution_strength", kind.alias("classification"), sure.alias("confidence"))
+
+
+def switching_opportunities(substitution: DataFrame, high_value: DataFrame, impact: DataFrame, top: int = 10) -> DataFrame:
+    """The first opportunities of switching: protect, steal_share, consolidate or delist_candidate, in that order, then by revenue at risk.
+
+    high_value is a switching matrix of customers of high value; impact has net_revenue_impact per product.
+    """
+    t = substitution.join(high_value.select("from_product", "to_product", F.col("count").alias("_hv")), ["from_product", "to_product"], "left")
+    t = t.join(impact.select(F.col("stockcode").alias("from_product"), F.col("net_revenue_impact").alias("_net")), "from_product", "left").fillna(0, ["_hv"])
+    firm = (F.col("classification") == "substitution") & (F.col("substitution_strength") != "weak")
+    kind = F.when(firm & (F.col("_hv") > 0), "protect").when(firm, "consolidate").when(F.col("classification") == "movement", "steal_share").when((F.col("classification") != "loyalty") & (F.round("_net", 6) > 0), "delist_candidate").otherwise("protect")
+    t = t.withColumn("opportunity_type", kind).withColumn("_o", F.expr("CASE opportunity_type WHEN 'protect' THEN 0 WHEN 'steal_share' THEN 2 WHEN 'consolidate' THEN 3 ELSE 4 END"))
+    first = t.orderBy("_o", F.desc(F.round("revenue_at_risk", 4)), "from_product", "to_product").limit(top)
+    return first.select("from_product", "to_product", "opportunity_type", "revenue_at_risk", F.col("_hv").alias("high_value_switches"), "confidence")
