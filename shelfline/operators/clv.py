@@ -135,7 +135,7 @@ def predict_clv(tx: DataFrame, horizon_days: int = 90, annual_rate: float = 0.0)
         for batch in batches:
             x, tx_, t, m = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float) for i in range(1, 5))
             tx_, t = tx_ / 7, t / 7
-            odds = np.where(x > 0, a / (b + np.maximum(x, 1) - 1) * ((alpha + t) / (alpha + tx_)) ** (r + x), 0.0)
+            odds = np.where(x > 0, a / np.maximum(b + np.maximum(x, 1) - 1, 1e-300) * ((alpha + t) / (alpha + tx_)) ** (r + x), 0.0)
             alive = 1 / (1 + odds)
             # the mean count for a near 1 goes through a - 1 = 0; step off it
             a1 = a if abs(a - 1) > 1e-6 else a + 1e-6

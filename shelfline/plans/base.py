@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.lines import STAR_SQL, star_lines
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Decimals, where a query doesn't name its own.
 RATIO = 6
@@ -24,8 +24,9 @@ def register(name: str, build: Callable[[DataFrame], DataFrame] | None, sql: str
     """build gets the sales lines. sql may start with WITH; tx is defined before it. doubles: columns to round, as name or name:decimals."""
     digits = _digits(doubles)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = source(spark, sf_dir) if source else build(star_lines(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
+        """tx: sales lines that several queries share, in place of those of the folder."""
+        df = source(spark, sf_dir) if source else build(star_lines(spark, sf_dir) if tx is None else tx)
         # adding 0.0 turns -0.0 into 0.0
         return df.withColumns({c: F.round(F.col(c).cast("double") * NUDGE, d) + F.lit(0.0) for c, d in digits.items()}) if digits else df
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.store import cut, stored
 from ..operators import basket as K
 from ..operators import cohort as C
 from ..operators import opportunities as O
@@ -9,6 +10,7 @@ from ..operators import performance as P
 from ..operators import pricing as Z
 from ..operators import promo as M
 from ..operators import switching as S
+from ..sources.lines import star_lines
 from .advanced import PEN
 from .base import ORACLE_SQL, QUERIES, register
 from .boards import FALL, PREPOST, SDP, compared, every, sdp, waterfall
@@ -88,16 +90,24 @@ SELECT 'pricing' AS area, decision AS source, stockcode AS subject, CASE WHEN de
 
 INSIGHTS = ("basket_insights", "product_insights", "cohort_insights", "switching_insights", "promotion_insights")
 FORM = "area, kind, subject, text, value, severity"
+
+
+def parts(spark, sf_dir, names, form):
+    """Tables of queries over the same lines, which are read once; a table is a few rows."""
+    lines = stored(star_lines(spark, sf_dir))
+    return [cut(QUERIES[n](spark, sf_dir, lines).selectExpr(*form.split(", "))) for n in names]
+
+
 register("insight_list", None, " UNION ALL ".join(f"SELECT {FORM} FROM ({ORACLE_SQL[n]})" for n in INSIGHTS), "value:2",
-  source=lambda s, d: O.together([QUERIES[n](s, d).select(*FORM.split(", ")) for n in INSIGHTS]))
+  source=lambda s, d: O.together(parts(s, d, INSIGHTS, FORM)))
 OPPORTUNITIES = ("cohort_opportunities", "basket_opportunities", "product_opportunities", "promotion_opportunities", "pricing_opportunities")
 ADDON = {"area": "'cross_sell'", "source": "'addon'", "subject": "addon", "value": "impact", "confidence": "'medium'"}
 LISTED = " UNION ALL ".join([*(f"SELECT {', '.join(ADDON)} FROM ({ORACLE_SQL[n]})" for n in OPPORTUNITIES), f"SELECT {', '.join(f'{e} AS {c}' for c, e in ADDON.items())} FROM ({ORACLE_SQL['cross_sell_opportunities']})"])
 
 
 def listed(spark, sf_dir):
-    addons = QUERIES["cross_sell_opportunities"](spark, sf_dir).select(*[F.expr(e).alias(c) for c, e in ADDON.items()])
-    return O.ranked_list([*(QUERIES[n](spark, sf_dir) for n in OPPORTUNITIES), addons])
+    *tables, addons = parts(spark, sf_dir, [*OPPORTUNITIES, "cross_sell_opportunities"], "*")
+    return O.ranked_list([*tables, addons.select(*[F.expr(e).alias(c) for c, e in ADDON.items()])])
 
 
 register("opportunity_list", None, f"SELECT *, row_number() OVER (ORDER BY value DESC, area, subject, source) AS rank FROM ({LISTED})", "value:2", source=listed)
