@@ -52,3 +52,8 @@ def once(tx: DataFrame, name: str, build: Callable[[], DataFrame], keep: Callabl
     if name not in own:
         own[name] = keep(build())
     return own[name]
+
+
+def known(tx: DataFrame, name: str) -> bool:
+    """Whether once has built it."""
+    return name in _KNOWN.get(tx, {})

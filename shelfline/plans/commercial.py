@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.store import once, stored
+from ..functions.store import known, once, stored
 from ..operators import category as C
 from ..operators import pricing as P
 from ..operators import promo as M
@@ -98,18 +98,20 @@ PR = f"""{PX}, bp AS (SELECT stockcode, quantile_cont(price, 0.9) AS base FROM p
 pd AS (SELECT DISTINCT stockcode, d FROM fl WHERE is_promo), pg AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER (PARTITION BY stockcode ORDER BY d), d) <= 1 THEN 0 ELSE 1 END AS o FROM pd),
 pi AS (SELECT *, sum(o) OVER (PARTITION BY stockcode ORDER BY d) AS run FROM pg), pp AS (SELECT stockcode, run, min(d) AS start_date, max(d) AS end_date, CAST(date_diff('day', min(d), max(d)) + 1 AS INTEGER) AS duration_days FROM pi GROUP BY 1, 2 HAVING date_diff('day', min(d), max(d)) + 1 BETWEEN 3 AND 60),
 mk AS (SELECT px.*, EXISTS (SELECT 1 FROM pp WHERE pp.stockcode = px.stockcode AND CAST(px.date AS DATE) BETWEEN start_date AND end_date) AS is_promo FROM px)"""
-prices = lambda tx: once(tx, "prices", lambda: tx.withColumn("price", 100 * (1 - F.col("discount"))).drop("product", "brand", "size", "discount"), stored)
-found = lambda tx: once(tx, "found", lambda: M.detect_promotions(prices(tx), DROP))
-register("detect_promotions", lambda tx: M.detect_promotions(prices(tx), DROP), f"""WITH {PR}, own AS (SELECT fl.stockcode, run, avg(drop_pct) * 100 AS avg_discount_pct, {R} AS promo_revenue, sum(quantity) AS promo_qty, count(DISTINCT transaction_id) AS promo_orders, count(DISTINCT customer_id) AS promo_customers, avg(price) AS avg_promo_price FROM fl JOIN pi ON fl.stockcode = pi.stockcode AND fl.d = pi.d WHERE is_promo GROUP BY 1, 2),
+plain = lambda tx: tx.withColumn("price", 100 * (1 - F.col("discount"))).drop("product", "brand", "size", "discount")
+# queries of many parts read the lines from a table that they write first
+prices = lambda tx: once(tx, "prices", lambda: plain(tx), stored)
+found = lambda tx: once(tx, "found", lambda: M.detect_promotions(prices(tx) if known(tx, "prices") else plain(tx), DROP))
+register("detect_promotions", lambda tx: M.detect_promotions(plain(tx), DROP), f"""WITH {PR}, own AS (SELECT fl.stockcode, run, avg(drop_pct) * 100 AS avg_discount_pct, {R} AS promo_revenue, sum(quantity) AS promo_qty, count(DISTINCT transaction_id) AS promo_orders, count(DISTINCT customer_id) AS promo_customers, avg(price) AS avg_promo_price FROM fl JOIN pi ON fl.stockcode = pi.stockcode AND fl.d = pi.d WHERE is_promo GROUP BY 1, 2),
 b AS (SELECT stockcode, {R} AS baseline_revenue, sum(quantity) AS baseline_qty, count(DISTINCT transaction_id) AS baseline_orders, count(DISTINCT customer_id) AS baseline_customers, avg(price) AS avg_baseline_price FROM fl WHERE NOT is_promo GROUP BY 1), n AS (SELECT count(DISTINCT date) AS n FROM fl WHERE NOT is_promo)
 SELECT stockcode, start_date, end_date, duration_days, avg_discount_pct, promo_revenue, promo_qty, promo_orders, promo_customers, avg_promo_price, baseline_revenue, baseline_qty, baseline_orders, baseline_customers, avg_baseline_price,
 promo_qty / duration_days / (baseline_qty / n) - 1 AS qty_lift, promo_revenue / duration_days / (baseline_revenue / n) - 1 AS revenue_lift FROM pp JOIN own USING (stockcode, run) JOIN b USING (stockcode), n""", "avg_discount_pct promo_revenue:2 promo_qty:2 avg_promo_price:5 baseline_revenue:2 baseline_qty:2 avg_baseline_price:5 qty_lift revenue_lift")
-register("promo_lines", lambda tx: M.mark_promo_lines(prices(tx), found(tx)).groupBy("stockcode", "is_promo").agg(F.count("*").alias("lines")), f"WITH {PR} SELECT stockcode, is_promo, count(*) AS lines FROM mk GROUP BY 1, 2")
-register("promo_timeline", lambda tx: M.promo_timeline(prices(tx), found(tx)), f"""WITH {PR} SELECT category, {WEEK} AS period, coalesce({R} FILTER (is_promo), 0) AS promo_revenue, coalesce({R} FILTER (NOT is_promo), 0) AS base_revenue, count(DISTINCT stockcode) FILTER (is_promo) AS promo_skus FROM mk GROUP BY 1, 2""", "promo_revenue:2 base_revenue:2")
-register("promo_timing_weekday", lambda tx: M.promo_timing(prices(tx), found(tx)), f"""WITH {PR}, g AS (SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday, coalesce({R} FILTER (is_promo), 0) AS promo_revenue, coalesce({R} FILTER (NOT is_promo), 0) AS base_revenue FROM mk GROUP BY 1) SELECT *, promo_revenue / base_revenue AS uplift_ratio FROM g""", "promo_revenue:2 base_revenue:2 uplift_ratio")
-register("promo_timing_month", lambda tx: M.promo_timing(prices(tx), found(tx), "month"), f"""WITH {PR}, g AS (SELECT CAST(month(date) AS INTEGER) AS month, coalesce({R} FILTER (is_promo), 0) AS promo_revenue, coalesce({R} FILTER (NOT is_promo), 0) AS base_revenue FROM mk GROUP BY 1) SELECT *, promo_revenue / base_revenue AS uplift_ratio FROM g""", "promo_revenue:2 base_revenue:2 uplift_ratio")
+register("promo_lines", lambda tx: M.mark_promo_lines(plain(tx), found(tx)).groupBy("stockcode", "is_promo").agg(F.count("*").alias("lines")), f"WITH {PR} SELECT stockcode, is_promo, count(*) AS lines FROM mk GROUP BY 1, 2")
+register("promo_timeline", lambda tx: M.promo_timeline(plain(tx), found(tx)), f"""WITH {PR} SELECT category, {WEEK} AS period, coalesce({R} FILTER (is_promo), 0) AS promo_revenue, coalesce({R} FILTER (NOT is_promo), 0) AS base_revenue, count(DISTINCT stockcode) FILTER (is_promo) AS promo_skus FROM mk GROUP BY 1, 2""", "promo_revenue:2 base_revenue:2")
+register("promo_timing_weekday", lambda tx: M.promo_timing(plain(tx), found(tx)), f"""WITH {PR}, g AS (SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday, coalesce({R} FILTER (is_promo), 0) AS promo_revenue, coalesce({R} FILTER (NOT is_promo), 0) AS base_revenue FROM mk GROUP BY 1) SELECT *, promo_revenue / base_revenue AS uplift_ratio FROM g""", "promo_revenue:2 base_revenue:2 uplift_ratio")
+register("promo_timing_month", lambda tx: M.promo_timing(plain(tx), found(tx), "month"), f"""WITH {PR}, g AS (SELECT CAST(month(date) AS INTEGER) AS month, coalesce({R} FILTER (is_promo), 0) AS promo_revenue, coalesce({R} FILTER (NOT is_promo), 0) AS base_revenue FROM mk GROUP BY 1) SELECT *, promo_revenue / base_revenue AS uplift_ratio FROM g""", "promo_revenue:2 base_revenue:2 uplift_ratio")
 LIFTS = ", ".join(f"CASE WHEN control_{c} > 0 THEN (treated_{c} / control_{c} - 1) * 100 ELSE 0 END AS lift_{c}_pct" for c in ("revenue", "qty", "orders"))
-register("promo_pre_post", lambda tx: M.pre_post_comparison(prices(tx), found(tx)), f"""WITH {PR}, j AS (SELECT pp.stockcode, start_date, end_date, px.price, px.quantity, px.transaction_id, CAST(date AS DATE) >= start_date AS treated FROM pp JOIN px ON px.stockcode = pp.stockcode AND CAST(date AS DATE) BETWEEN start_date - duration_days AND end_date),
+register("promo_pre_post", lambda tx: M.pre_post_comparison(plain(tx), found(tx)), f"""WITH {PR}, j AS (SELECT pp.stockcode, start_date, end_date, px.price, px.quantity, px.transaction_id, CAST(date AS DATE) >= start_date AS treated FROM pp JOIN px ON px.stockcode = pp.stockcode AND CAST(date AS DATE) BETWEEN start_date - duration_days AND end_date),
 g AS (SELECT stockcode, start_date, end_date, coalesce({R} FILTER (treated), 0) AS treated_revenue, coalesce({R} FILTER (NOT treated), 0) AS control_revenue, coalesce(sum(quantity) FILTER (treated), 0) AS treated_qty, coalesce(sum(quantity) FILTER (NOT treated), 0) AS control_qty, count(DISTINCT transaction_id) FILTER (treated) AS treated_orders, count(DISTINCT transaction_id) FILTER (NOT treated) AS control_orders FROM j GROUP BY 1, 2, 3)
 SELECT *, {LIFTS} FROM g""", "treated_revenue:2 control_revenue:2 treated_qty:2 control_qty:2 lift_revenue_pct:4 lift_qty_pct:4 lift_orders_pct:4")
 register("promo_cannibalization", lambda tx: M.cannibalization(prices(tx), found(tx)), f"""WITH {PR}, {CATS.replace('FROM tx', 'FROM px')}, j AS (SELECT pp.stockcode AS promo_product, start_date, px.stockcode AS peer_product, px.category, price * quantity AS r, transaction_id, CAST(date AS DATE) >= start_date AS now
