@@ -37,8 +37,8 @@ TEXTS = [
     None, "", "no data", "a@b.c_d@e.f.g@h", "x@y@z.w a.b+c%d-e@f-g.h-i..j@k.l", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.255.0255 1.2.3", "ü😀 Mail: ö.x@y.zz😀 1.1.1.1",
     "+1 (683) 555-0123. +49 30 123 +1 2 +123456789012345 +1234567890123456 ++12345678 +(1)2345678 +1-----2345678- ",
     "card 4111 1111 1111 1111, 4111-1111-1111-1111 4111 1111 1111 1112 12 4111 1111 1111 1111", "IBAN DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819 X DE89 3704 0044 0532 0130 01",
-    "BE68 5390 0754 7034 Then DE89 3704 0044 0532 0130 00 THE END", "my ssn 123-45-6789 is written here once, and then again after this part 123-45-6789; 666-12-3456 ssn", "amex card 378282246310005 or 378282246310005", "x" * 50_000 + "@" + "9" * 50_000, "1." * 20_000 + "a@" + "b." * 20_000,
-    "a@b.cc " * 3_000, "+" + "5" * 40_000, "(" * 30_000, "-".join(["123"] * 9_000),
+    "BE68 5390 0754 7034 Then DE89 3704 0044 0532 0130 00 THE END", "my ssn 123-45-6789 is written here once, and then again after this part 123-45-6789; 666-12-3456 ssn", "amex card 378282246310005 or 378282246310005", "x" * 8_000 + "@" + "9" * 8_000, "1." * 4_000 + "a@" + "b." * 4_000,
+    "a@b.cc " * 3_000, "+" + "5" * 8_000, "(" * 30_000, "-".join(["123"] * 9_000),
 ]
 
 
