@@ -76,24 +76,30 @@ def bg_nbd_loss(p: np.ndarray, x, tx, t, w) -> float:
     return float(-(w * like).sum() / w.sum() + 0.001 * (np.exp(p) ** 2).sum() / 100)
 
 
-def fit_bg_nbd(summary: DataFrame) -> np.ndarray:
-    """r, alpha, a, b with time in weeks."""
+def purchase_counts(summary: DataFrame, *sums) -> DataFrame:
+    """Customers by repeat purchases, week of the last one and age in weeks; n counts them, or else the given sums."""
     week = lambda c: F.round(F.col(c) / 7).cast("int")
-    g = summary.groupBy("frequency", week("recency").alias("recency"), week("T").alias("T")).agg(F.count("*").alias("n")).toPandas()
-    if not len(g):
-        return np.ones(4)
-    x, tx, t, w = (g[c].to_numpy(float) for c in ("frequency", "recency", "T", "n"))
-    return np.exp(minimise(lambda p: bg_nbd_loss(p, x, tx, np.maximum(t, tx), w), np.zeros(4)))
+    return summary.groupBy("frequency", week("recency").alias("recency"), week("T").alias("T")).agg(*(sums or (F.count("*").alias("n"),)))
 
 
-def fit_gamma_gamma(summary: DataFrame) -> np.ndarray:
-    """p, q, v over all customers with repeat purchases, counted by purchases and bin of value."""
+def value_counts(summary: DataFrame, *sums) -> DataFrame:
+    """Customers with repeat purchases by their number and bin of ln(value), with each bin's means."""
     log = F.ln("monetary_value")
     bins = summary.where("frequency > 0 AND monetary_value > 0").groupBy("frequency", F.floor(log * VALUE_BINS).alias("bin"))
-    g = bins.agg(F.count("*").alias("n"), F.avg("monetary_value").alias("m"), F.avg(log).alias("log_m")).orderBy("frequency", "bin").toPandas()
-    if g["n"].sum() < 2:
+    return bins.agg(F.avg("monetary_value").alias("m"), F.avg(log).alias("log_m"), *(sums or (F.count("*").alias("n"),)))
+
+
+def bg_nbd_of_counts(x, tx, t, w, start: np.ndarray | None = None) -> np.ndarray:
+    """r, alpha, a, b from counted customers; start is a known fit nearby."""
+    if not len(x) or not w.sum():
+        return np.ones(4)
+    return np.exp(minimise(lambda p: bg_nbd_loss(p, x, tx, np.maximum(t, tx), w), np.zeros(4) if start is None else np.log(start)))
+
+
+def gamma_gamma_of_counts(x, m, log_m, w) -> np.ndarray:
+    """p, q, v from counted customers."""
+    if w.sum() < 2:
         return np.array([1.0, 2.0, 1.0])
-    x, m, log_m, w = (g[c].to_numpy(float) for c in ("frequency", "m", "log_m", "n"))
     scale = (w * m).sum() / w.sum()
     m, log_m = m / scale, log_m - math.log(scale)
 
@@ -106,6 +112,18 @@ def fit_gamma_gamma(summary: DataFrame) -> np.ndarray:
     return np.array([p, q, v * scale])
 
 
+def fit_bg_nbd(summary: DataFrame) -> np.ndarray:
+    """r, alpha, a, b with time in weeks."""
+    g = purchase_counts(summary).toPandas()
+    return bg_nbd_of_counts(*(g[c].to_numpy(float) for c in ("frequency", "recency", "T", "n")))
+
+
+def fit_gamma_gamma(summary: DataFrame) -> np.ndarray:
+    """p, q, v over all customers with repeat purchases, counted by purchases and bin of value."""
+    g = value_counts(summary).orderBy("frequency", "bin").toPandas()
+    return gamma_gamma_of_counts(*(g[c].to_numpy(float) for c in ("frequency", "m", "log_m", "n")))
+
+
 def _hyp2f1(a, b, c, z, terms: int = 1_000_000):
     """The hypergeometric series for 0 <= z < 1. Raises where it doesn't settle."""
     total, term, open_ = np.ones_like(z), np.ones_like(z), np.arange(len(z))
@@ -120,32 +138,47 @@ def _hyp2f1(a, b, c, z, terms: int = 1_000_000):
     raise ArithmeticError("the hypergeometric series does not settle")
 
 
+def expected(bg: np.ndarray, gg: np.ndarray, x, tx, t, m, horizon: float, mean_value: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chance to be alive, purchases over the horizon and value of one, for arrays of customers with times in weeks.
+
+    mean_value is the base where the fit of values has no mean (q <= 1).
+    """
+    r, alpha, a, b = (float(p) for p in bg)
+    p, q, v = (float(y) for y in gg)
+    odds = np.where(x > 0, a / np.maximum(b + np.maximum(x, 1) - 1, 1e-300) * ((alpha + t) / (alpha + tx)) ** (r + x), 0.0)
+    alive = 1 / (1 + odds)
+    # the mean count for a near 1 goes through a - 1 = 0; step off it
+    a1 = a if abs(a - 1) > 1e-6 else a + 1e-6
+    z = horizon / (alpha + t + horizon)
+    f = _hyp2f1(r + x, b + x, a1 + b + x - 1, z)
+    n = (a1 + b + x - 1) / (a1 - 1) * (1 - ((alpha + t) / (alpha + t + horizon)) ** (r + x) * f) * alive
+    weight = p * x / np.maximum(p * x + q - 1, 1e-9) if q > 1 else np.ones_like(x)
+    base = v * p / (q - 1) if q > 1 else mean_value
+    return alive, np.maximum(n, 0), np.where(x > 0, (1 - weight) * base + weight * m, base)
+
+
+def discount_factor(days: int, annual_rate: float) -> float:
+    """What a purchase within the days is worth now, with purchases spread evenly over them."""
+    rate = annual_rate / 365
+    return 1.0 if rate == 0 else (1 - (1 + rate) ** -days) / (rate * days)
+
+
+def mean_value(summary: DataFrame) -> float:
+    """Mean value over customers with repeat purchases; 0 without any."""
+    return summary.where("frequency > 0").agg(F.avg("monetary_value")).first()[0] or 0.0
+
+
 def predict_clv(tx: DataFrame, horizon_days: int = 90, annual_rate: float = 0.0) -> DataFrame:
     """Per customer: chance to be alive, expected purchases and value over the horizon, and the quartile of the value."""
     s = cut(purchase_summary(tx))
     bg, gg = fit_bg_nbd(s), fit_gamma_gamma(s)
-    r, alpha, a, b = (float(x) for x in bg)
-    p, q, v = (float(x) for x in gg)
-    horizon = horizon_days / 7
-    rate = annual_rate / 365
-    discount = 1.0 if rate == 0 else (1 - (1 + rate) ** -horizon_days) / (rate * horizon_days)
+    base, discount = mean_value(s), discount_factor(horizon_days, annual_rate)
     schema = "customer_id string, frequency long, recency int, T int, monetary_value double, p_alive double, predicted_purchases double, predicted_aov double, predicted_clv double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, tx_, t, m = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float) for i in range(1, 5))
-            tx_, t = tx_ / 7, t / 7
-            odds = np.where(x > 0, a / np.maximum(b + np.maximum(x, 1) - 1, 1e-300) * ((alpha + t) / (alpha + tx_)) ** (r + x), 0.0)
-            alive = 1 / (1 + odds)
-            # the mean count for a near 1 goes through a - 1 = 0; step off it
-            a1 = a if abs(a - 1) > 1e-6 else a + 1e-6
-            z = horizon / (alpha + t + horizon)
-            f = _hyp2f1(r + x, b + x, a1 + b + x - 1, z)
-            n = (a1 + b + x - 1) / (a1 - 1) * (1 - ((alpha + t) / (alpha + t + horizon)) ** (r + x) * f) * alive
-            n = np.maximum(n, 0)
-            weight = p * x / np.maximum(p * x + q - 1, 1e-9) if q > 1 else np.ones_like(x)
-            base = v * p / (q - 1) if q > 1 else float(np.mean(m))
-            aov = np.where(x > 0, (1 - weight) * base + weight * m, base)
+            x, last, t, m = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float) for i in range(1, 5))
+            alive, n, aov = expected(bg, gg, x, last / 7, t / 7, m, horizon_days / 7, base)
             cols = [batch.column(i) for i in range(5)] + [pa.array(y) for y in (alive, n, aov, n * aov * discount)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
 
