@@ -77,6 +77,7 @@ SELECT *, row_number() OVER (ORDER BY round(score, 4) DESC, type, area, subject,
 
 
 def strategy(tx: DataFrame) -> DataFrame:
+    tx = stored(tx)
     return D.strategy_scorecard(
         shown("manager_scorecard", tx), shown("category_roles", tx), shown("assortment_efficiency", tx), D.category_reach(tx), shown("pricing_decision_matrix", tx),
         O.product_roi(shown("promo_roi", tx)), shown("switching_status", tx), category_map(tx),
@@ -93,7 +94,14 @@ SELECT m.category, coalesce(role, 'Routine') AS role, m.total_revenue AS revenue
 FROM {sql('manager_scorecard')} m LEFT JOIN {sql('category_roles')} r USING (category) LEFT JOIN {sql('assortment_efficiency')} a USING (category) LEFT JOIN re USING (category) LEFT JOIN pr USING (category)
 LEFT JOIN {BY('dm', case('decision', {'invest': 'premium', 'protect': 'stable', 'price_lever': 'competitive'}, "'review'"))} po USING (category)
 LEFT JOIN {BY('ss', case('switching_status', {'no_switching_observed': 'low', 'estimated': 'medium', 'insufficient_observations': 'medium'}, "'high'"))} sw USING (category)""", "revenue:2 growth:4 customer_reach:4 promo_roi:3 customer_value:3")
-register("category_rules", lambda tx: D.category_rules(mined(tx), tx, category_map(tx)), f"""
+
+
+def between_categories(tx: DataFrame) -> DataFrame:
+    tx = stored(tx)
+    return D.category_rules(mined(tx), tx, cut(category_map(tx)))
+
+
+register("category_rules", between_categories, f"""
 WITH {RULES}, {CATS}, rk AS (SELECT r.*, x.category AS ca, y.category AS cc FROM rules r JOIN cm x ON x.stockcode = antecedents JOIN cm y ON y.stockcode = consequents),
 cg AS (SELECT ca AS antecedent_category, cc AS consequent_category, count(*) AS rule_count, avg(support) AS support, avg(confidence) AS confidence, avg(lift) AS lift, max(lift) AS max_lift FROM rk GROUP BY 1, 2),
 cb AS (SELECT DISTINCT transaction_id, cm.category AS c FROM tx JOIN cm USING (stockcode)), cn AS (SELECT c, count(*) AS k FROM cb GROUP BY 1), ct AS (SELECT count(DISTINCT transaction_id) AS t FROM cb),
@@ -102,7 +110,14 @@ SELECT cg.*, coalesce(cp.k, 0) * t / (na.k * nc.k) AS avg_lift FROM cg JOIN cn n
 
 # insights and opportunities of prices, customers and assortments
 
-register("pricing_insights", lambda tx: D.pricing_insights(shown("elasticity_status", tx), shown("kvi_scores", tx), shown("pricing_decision_matrix", tx)), f"""
+
+
+def priced(tx: DataFrame) -> DataFrame:
+    tx = stored(tx)
+    return D.pricing_insights(shown("elasticity_status", tx), shown("kvi_scores", tx), shown("pricing_decision_matrix", tx))
+
+
+register("pricing_insights", priced, f"""
 WITH k AS (SELECT stockcode, total_revenue FROM {sql('kvi_scores')}), s AS (SELECT stockcode, elasticity_status AS e, coalesce(total_revenue, 0) AS r, (SELECT quantile_cont(total_revenue, 0.75) FROM k) AS edge FROM {sql('elasticity_status')} LEFT JOIN k USING (stockcode)),
 f AS (SELECT *, e IN ('estimated', 'weak') AS u, e IN ('insufficient_variation', 'insufficient_price_points') AS flat, e NOT IN ('estimated', 'weak') AND r >= edge AS large FROM s),
 t AS (SELECT count(*) AS n, count(*) FILTER (u) AS k, coalesce(sum(r) FILTER (u), 0) AS covered, coalesce(sum(r) FILTER (NOT u), 0) AS o, count(*) FILTER (e = 'weak') AS w, sum(r) FILTER (e = 'weak') AS wr, count(*) FILTER (large) AS l, sum(r) FILTER (large) AS lr, count(*) FILTER (flat) AS z, sum(r) FILTER (flat) AS zr FROM f),
