@@ -127,7 +127,9 @@ def shares(model: LanguageModel, column) -> tuple[np.ndarray, np.ndarray]:
         share = share.copy()
         in_play = np.where(share > 0, share, np.inf)
         over = (share > 0).sum(axis=1) > size
-        share[np.flatnonzero(over), in_play.argmin(axis=1)[over]] = 0
+        # of equal shares the last one goes, so that ties end at the name that sorts first
+        smallest = in_play.shape[1] - 1 - in_play[:, ::-1].argmin(axis=1)
+        share[np.flatnonzero(over), smallest[over]] = 0
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
         share, like = _em(p, doc, begin, share, AGAIN if size > 1 else 1)
         value = like - cost * (size - 1)

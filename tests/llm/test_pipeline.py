@@ -41,3 +41,27 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert P.run(spark, d).count() == 0
+
+
+def test_extra_columns_and_repeated_rows(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    odd = ["group_id", "kept", "found", "score", "ids", "key", "hash", "n_removed", "_found", "block"]
+    rows = [(1, EN, "en"), (1, EN, "en"), (2, DE, "de"), (3, EN + " ", "en"), (4, "some other words in the garden of the school", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd)
+    spark.createDataFrame([(i, t, lang, "s", len(t), *[f"{c}{i}" for c in odd]) for i, t, lang in rows], schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for k, (name, stage) in enumerate(P.STAGES):
+        docs = stage(spark, docs, d)
+        docs.write.parquet(f"{d}/stage{k}")
+        docs = spark.read.parquet(f"{d}/stage{k}")
+        if k < len(P.STAGES) - 1:
+            assert docs.columns == columns, name
+            got = docs.collect()
+            assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in odd), name
+            seen[k] = sorted(r.doc_id for r in got)
+    assert seen[0] == [1, 1, 2, 3, 4]
+    # rows of one id are one document; the copy with a larger id goes
+    assert all(seen[k] == [1, 1, 2, 4] for k in (1, 2, 3))
+    assert docs.count() == 4

@@ -36,3 +36,27 @@ def test_odd_inputs(spark):
         m = Q.fit_quality(docs, labels)
         assert docs.withColumn("s", Q.score(spark, m, "text")).where("s IS NULL").count() == 0
     assert docs.limit(0).withColumn("s", Q.score(spark, m, "text")).count() == 0
+
+
+def test_columns_named_like_the_result(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    texts = ["good words here", None, "", "buy now buy now", "good words here"]
+    docs = spark.createDataFrame([(i, t, "s", 9, "p") for i, t in enumerate(texts)] + [(0, texts[0], "s", 9, "p")], "doc_id long, text string, score string, held_out int, predicted string")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, 1, 5), (3, 0, 5), (4, 1, 5)], "doc_id long, quality int, score int").write.parquet(f"{d}/labels.parquet")
+    out = Q.op10_quality(spark, d)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and sorted(r.doc_id for r in rows) == [0, 0, 1, 2, 3, 4]
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    # repeated rows, and equal texts of other ids, have one score
+    assert len({r.score for r in rows if r.doc_id in (0, 4)}) == 1
+
+
+def test_fit_does_not_depend_on_the_order_of_equal_rows(spark):
+    rows = [(i, f"word{i % 3} and more", i % 2) for i in range(40)]
+    fits = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, quality int").repartition(3)
+        m = Q.fit_quality(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+        fits.append(m.weight)
+    assert np.allclose(fits[0], fits[1])
