@@ -22,6 +22,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a language that explains them go; lang becomes the one with the largest share.
 
@@ -30,9 +38,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_languages(docs)
     if not model.languages:
         return docs
-    found = docs.withColumn("_found", identify(spark, model, "text"))
-    kept = found.where(F.col("_found.lang") != UNDETERMINED)
-    return kept.withColumn("lang", F.col("_found.lang")).select(docs.columns)
+    own = _free(docs, "_found")
+    kept = docs.withColumn(own, identify(spark, model, "text")).where(F.col(f"{own}.lang") != UNDETERMINED)
+    return kept.withColumn("lang", F.col(f"{own}.lang")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +54,13 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Bytes of characters that were cut in two are dropped.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix_dedup(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
-    out = out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    # under names of their own, so that they don't clash with the result's
+    others = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(own) for c, own in others.items()])
+    out = suffix_dedup(rows, carry=list(others.values()), as_text=True)
+    out = out.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    found = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long"), **{c: F.col(own) for c, own in others.items()}}
+    return out.select(*[found[c].alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +71,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document: doc_id, lang, source, n_pieces, ids, scores of the N best, the others' edits, round_trip."""
     model = load_model(model_path())
-    got = docs.withColumn("_e", encode(spark, model, "text"))
+    got = docs.select("doc_id", "lang", "source", encode(spark, model, "text").alias("_e"))
     scores = F.concat(F.array("_e.score"), F.transform("_e.others", lambda o: o["score"]))
     edits = F.transform("_e.others", lambda o: o["edits"])
     return got.select(
