@@ -1,6 +1,7 @@
 """Odd inputs and parts that the registered queries don't reach."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -122,3 +123,27 @@ def test_import_needs_no_session():
     import sys
 
     subprocess.run([sys.executable, "-c", "import shelfline.registry"], check=True, timeout=120)
+
+
+def test_lift_interval_is_brute_force(spark):
+    """Names that hold the old separator, rules of three products, and each set's weighted count."""
+    rng = random.Random(12)
+    names = ["a|b", "a", "b", "c|", "d"]
+    rows = [(f"c{c}", f"t{c}-{k}", s) for c in range(40) for k in range(3) for s in rng.sample(names, rng.randint(1, 4))]
+    tx = spark.createDataFrame(rows, "customer_id string, transaction_id string, stockcode string")
+    rules = spark.createDataFrame([(["a|b"], ["a"]), (["a", "b"], ["d"]), (["b"], ["a|b", "c|"])], "antecedents array<string>, consequents array<string>")
+    got = {(tuple(r.antecedents), tuple(r.consequents)): (r.lift_ci_lower, r.lift_ci_upper) for r in U.lift_interval(tx, rules, 20, 7).collect()}
+    u = {(r.c, r.b): r.u for r in spark.range(40).selectExpr("concat('c', id) AS c", "explode(sequence(1, 20)) AS b").selectExpr("c", "b", "pmod(xxhash64(c, b, 7), 1073741824L) / 1073741824.0D AS u").collect()}
+    cdf = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(7)])
+    baskets = {}
+    for c, t, s in rows:
+        baskets.setdefault((c, t), set()).add(s)
+    for a, b in [(("a|b",), ("a",)), (("a", "b"), ("d",)), (("b",), ("a|b", "c|"))]:
+        lifts = []
+        for draw in range(1, 21):
+            w = {k: int((u[k[0], draw] >= cdf).sum()) for k in baskets}
+            n, na, nc, nac = (sum(w[k] for k, i in baskets.items() if set(x) <= i) for x in ((), a, b, a + b))
+            if na and nc:
+                lifts.append(nac * n / (na * nc))
+        assert got[a, b] == pytest.approx(np.percentile(lifts, [5, 95]), abs=1e-9)
+    assert len(got) == 3
