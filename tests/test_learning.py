@@ -98,3 +98,14 @@ def test_uplift_of_a_known_effect(spark):
     with pytest.raises(ValueError):
         U.two_models(rows.where("treatment = 1"), ["a", "b"])
     assert not U.overlap(rows.where("treatment = 1")).first().enough
+
+
+def test_uplift_without_enough_treated_rows(spark):
+    df, _ = made_up(spark, 60)
+    rows = df.withColumn("treatment", F.lit(0)).withColumn("propensity", F.lit(0.2))
+    scored = U.two_models(rows, ["a", "b"], strict=False)
+    assert scored.count() == 60 and scored.where("uplift IS NOT NULL").count() == 0
+    assert [(r.bin, r.qini_y) for r in U.qini(scored).collect()] == [(0, 0.0)]
+    assert {r.metric: r.value for r in U.qini_metrics(U.qini(scored)).collect()} == dict.fromkeys(("qini_coefficient", "auuc", "auuc_normalized", "gain_at_top"))
+    customers = U.customer_uplift(scored).collect()
+    assert len(customers) == 60 and all(r.uplift is None and r.treatment_share == 0 for r in customers)
