@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.store import once
+from ..functions.store import once, stored
 from ..operators import affinity as A
 from ..operators import attributes as X
 from ..operators import tree as T
@@ -20,18 +20,28 @@ def catalogue(tx: DataFrame) -> DataFrame:
     return tiers(tx).join(X.seasonality_class(tx).select("stockcode", "seasonality"), "stockcode")
 
 
-def grown(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their similarity, and members; grown once a query."""
+#: The lines of all parts of the tree, read and joined once.
+lines = lambda tx: once(tx, "tree_lines", lambda: tx, stored)
+
+
+def split(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes without their similarity, and members; grown once a query."""
     kept: dict[str, DataFrame] = {}
 
     def build() -> DataFrame:
-        nodes, kept["members"] = T.grow_tree(catalogue(tx), groups(tx), NAMES, LEAST, DEEPEST)
-        return nodes.join(T.within_similarity(kept["members"], A.similarity(tx, "jaccard", 1)), "node")
+        nodes, kept["members"] = T.grow_tree(catalogue(lines(tx)), groups(lines(tx)), NAMES, LEAST, DEEPEST)
+        return nodes
 
-    nodes = once(tx, "tree", build)
+    nodes = once(tx, "tree_split", build, lambda df: df)
     return nodes, once(tx, "tree_members", lambda: kept["members"], lambda df: df)
 
 
+def grown(tx: DataFrame) -> DataFrame:
+    """Nodes with their similarity."""
+    nodes, members = split(tx)
+    return once(tx, "tree", lambda: nodes.join(T.within_similarity(members, A.similarity(lines(tx), "jaccard", 1)), "node"))
+
+
 GIVEN = f"""{CATS}, {DEPTH}, {CUST}, m AS (SELECT stockcode, sum(quantity) / count(DISTINCT date_trunc('month', date)) AS upm FROM tx GROUP BY 1),
 vt AS (SELECT stockcode, {THIRD('upm', 'Slow-Moving', 'Medium', 'Fast-Moving', 'm')} AS v FROM m), br AS (SELECT stockcode, arg_min(brand, (date, brand)) AS v FROM tx GROUP BY 1),
 ms AS (SELECT DISTINCT date_trunc('month', date) AS m FROM tx), us AS (SELECT stockcode, date_trunc('month', date) AS m, sum(quantity) AS u FROM tx GROUP BY 1, 2),
@@ -62,20 +72,20 @@ sw AS (SELECT x.node, sum(n_ab / (n_a + n_b - n_ab)) AS s FROM cc JOIN mm x ON c
 nd AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(attribute_value) AS attribute_value, count(*) AS size FROM mm GROUP BY 1),
 tree AS (SELECT nd.*, attribute, gain AS split_score, attribute IS NULL AS is_leaf, CASE WHEN size < 2 THEN 1.0 ELSE least(1, greatest(0, coalesce(s, 0) / (size * (size - 1) / 2))) END AS similarity_within FROM nd LEFT JOIN sp USING (node) LEFT JOIN sw USING (node))"""
 ND = "split_score similarity_within"
-register("cdt_nodes", lambda tx: T.rules_of(grown(tx)[0]).drop("split_stability"), f"""
+register("cdt_nodes", lambda tx: T.rules_of(grown(tx)).drop("split_stability"), f"""
 WITH {TREE} SELECT *, CASE WHEN is_leaf THEN 'Browse ' || size || ' similar products' ELSE 'Shoppers split by ' || attribute END AS rule FROM tree""", ND)
-register("cdt_products", lambda tx: grown(tx)[1].join(grown(tx)[0].where("is_leaf").select("node"), "node").select("node", "stockcode"), f"WITH {TREE} SELECT node, stockcode FROM mm JOIN (SELECT node FROM tree WHERE is_leaf) USING (node)")
-register("cdt_scores", lambda tx: T.tree_scores(grown(tx)[0]), f"""
+register("cdt_products", lambda tx: split(tx)[1].join(split(tx)[0].where("is_leaf").select("node"), "node").select("node", "stockcode"), f"WITH {TREE} SELECT node, stockcode FROM mm JOIN (SELECT node FROM tree WHERE is_leaf) USING (node)")
+register("cdt_scores", lambda tx: T.tree_scores(grown(tx)), f"""
 WITH {TREE} SELECT unnest(['n_nodes', 'n_leaves', 'depth', 'mean_leaf_similarity', 'products_covered']) AS metric,
   unnest([count(*), count(*) FILTER (is_leaf), max(depth), avg(similarity_within) FILTER (is_leaf), sum(size) FILTER (is_leaf)]) AS value FROM tree""", "value")
-register("cdt_attribute_importance", lambda tx: T.attribute_importance(grown(tx)[0]), f"""
+register("cdt_attribute_importance", lambda tx: T.attribute_importance(split(tx)[0]), f"""
 WITH {TREE}, g AS (SELECT attribute, sum(split_score * size) AS importance, count(*) AS n_splits FROM tree WHERE NOT is_leaf GROUP BY 1) SELECT *, importance / sum(importance) OVER () AS share FROM g""", "importance:4 share")
 WEAK = 0.002
-register("cdt_pruned", lambda tx: T.prune_tree(grown(tx)[0], WEAK).drop("split_stability"), f"""
+register("cdt_pruned", lambda tx: T.prune_tree(grown(tx), WEAK).drop("split_stability"), f"""
 WITH {TREE}, p1 AS (SELECT parent FROM tree WHERE depth = 2 GROUP BY 1 HAVING bool_and(is_leaf) AND round(sum(similarity_within * size) / sum(size), 9) < {WEAK}),
 t1 AS (SELECT * REPLACE (CASE WHEN node IN (SELECT parent FROM p1) THEN NULL ELSE attribute END AS attribute, CASE WHEN node IN (SELECT parent FROM p1) THEN NULL ELSE split_score END AS split_score, is_leaf OR node IN (SELECT parent FROM p1) AS is_leaf)
   FROM tree WHERE parent IS NULL OR parent NOT IN (SELECT parent FROM p1)),
 p0 AS (SELECT parent FROM t1 WHERE depth = 1 GROUP BY 1 HAVING bool_and(is_leaf) AND round(sum(similarity_within * size) / sum(size), 9) < {WEAK})
 SELECT * REPLACE (CASE WHEN node IN (SELECT parent FROM p0) THEN NULL ELSE attribute END AS attribute, CASE WHEN node IN (SELECT parent FROM p0) THEN NULL ELSE split_score END AS split_score, is_leaf OR node IN (SELECT parent FROM p0) AS is_leaf)
 FROM t1 WHERE parent IS NULL OR parent NOT IN (SELECT parent FROM p0)""", ND)
-register("cdt_stability", lambda tx: grown(tx)[0].where("NOT is_leaf").select("node", "attribute", F.col("split_stability")), None, "split_stability")
+register("cdt_stability", lambda tx: split(tx)[0].where("NOT is_leaf").select("node", "attribute", F.col("split_stability")), None, "split_stability")
