@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import numpy as np
@@ -109,3 +110,25 @@ def test_uplift_without_enough_treated_rows(spark):
     assert {r.metric: r.value for r in U.qini_metrics(U.qini(scored)).collect()} == dict.fromkeys(("qini_coefficient", "auuc", "auuc_normalized", "gain_at_top"))
     customers = U.customer_uplift(scored).collect()
     assert len(customers) == 60 and all(r.uplift is None and r.treatment_share == 0 for r in customers)
+
+
+def test_uplift_rows_go_to_more_tasks_as_lines_grow(spark, monkeypatch):
+    rng = random.Random(13)
+    lines = [(f"c{rng.randrange(9)}", f"p{rng.randrange(4)}", f"t{i}", f"2024-0{rng.randrange(1, 7)}-1{rng.randrange(10)}", float(rng.randrange(1, 5)), 2.0 + rng.randrange(3), rng.random() < 0.5) for i in range(200)]
+    df = spark.createDataFrame(lines, "customer_id string, stockcode string, transaction_id string, day string, quantity double, price double, is_promo boolean").withColumn("date", F.to_timestamp("day"))
+    want = {r.id: r for r in U.uplift_rows(df, 4).collect()}
+    tasks, keep = [], U.stored
+    monkeypatch.setattr(U, "LINES_OF_TASK", 10)
+    monkeypatch.setattr(U, "stored", lambda w: tasks.append(w.rdd.getNumPartitions()) or keep(w))
+    got = {r.id: r for r in U.uplift_rows(df, 4).collect()}
+    assert tasks == [20] and got.keys() == want.keys()
+    week = lambda d: d - datetime.timedelta(d.weekday())
+    own = [(c, p, week(datetime.date.fromisoformat(d)), q, q * x) for c, p, _, d, q, x, _ in lines]
+    for k, r in got.items():
+        c, p, w = k.split("|")
+        before = [o for o in own if o[0] == c and str(o[2]) < w]
+        assert (r.cust_qty, r.cust_txns) == (sum(o[3] for o in before), len(before)) and r.cust_revenue == pytest.approx(sum(o[4] for o in before))
+        assert r.cust_products == len({o[1:3] for o in before})
+        ahead = [o[3] for o in own if o[:2] == (c, p) and w < str(o[2]) <= str(datetime.date.fromisoformat(w) + datetime.timedelta(28))]
+        assert r.y == sum(ahead) and r.prod_qty == sum(o[3] for o in own if o[1] == p and str(o[2]) < w)
+        assert all(r[f] == pytest.approx(want[k][f]) for f in U.FEATURES)
