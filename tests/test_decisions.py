@@ -101,3 +101,18 @@ def test_csv_comes_back(spark, tmp_path):
     write_csv(df, str(tmp_path / "out"), one_file=True)
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "out"))
     assert {(r.k, r.v, r["items"]) for r in back.collect()} == {("a,b", 'say "x"', '["p","q"]'), (None, "line\nbreak", "[]")}
+
+
+def test_lists_of_one_query_share_their_lines(spark, monkeypatch):
+    """Opportunities and insights are made from the lines that signals has stored, not from files read again."""
+    from shelfline.plans import decisions as P
+    from shelfline.plans import opportunities as L
+
+    given = []
+    parts = ["cohort_insights", "basket_insights"]
+    for name in parts:
+        monkeypatch.setitem(P.QUERIES, name, lambda spark, sf_dir, tx=None: given.append(tx) or spark.createDataFrame([("a", "k", "s", "t", 1.0, "info")], L.FORM.replace(",", " string,").replace("value string", "value double") + " string"))
+    monkeypatch.setattr(L, "INSIGHTS", parts)
+    tx, one, two = P.signals(spark, "/root/testdata/sf0.001", "insight_list", "insight_list")
+    assert one.count() == two.count() == 2 and len(given) == 4
+    assert all(t is tx for t in given)
