@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import intervals as I
 from shelfline.operators import models as N
+from shelfline.operators.tree import poisson_weight
 from shelfline.sources.lines import star_lines
 
 
@@ -32,3 +33,19 @@ def test_separated_clusters_are_stable(spark):
     rows = [(f"c{i}", float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.normal(c, 0.1, (60, 2)) for c in ((0, 0), (9, 0), (0, 9))]))]
     df = spark.createDataFrame(rows, "customer_id string, x double, y double")
     assert [r.ari for r in N.cluster_stability(df, ["x", "y"], 3, resamples=3).collect()] == pytest.approx([1.0] * 3)
+
+
+def test_draws_weigh_sums_and_not_rows(spark):
+    """The sums of each draw by brute force; moves are neither counted for each customer nor repeated for each draw."""
+    tx = star_lines(spark, "/root/testdata/sf0.001")
+    seen = {}
+    for r in tx.groupBy("customer_id", F.col("stockcode").alias("from_product")).agg(F.sum("quantity").alias("q")).crossJoin(spark.range(0, 6).select(F.col("id").cast("int").alias("draw"))).withColumn("w", F.when(F.col("draw") == 0, 1).otherwise(poisson_weight(42, "customer_id", "draw"))).collect():
+        if r.w:
+            seen[r.from_product, r.draw] = seen.get((r.from_product, r.draw), 0.0) + r.q * r.w
+    sold = tx.select("customer_id", "stockcode", "quantity")
+    got = I._drawn_sums(sold, ["from_product"], F.col("quantity"), 5, 42, lambda t: t.select("_w", F.col("stockcode").alias("from_product"), "quantity"))
+    assert {(r.from_product, r.draw): r.total for r in got.collect()} == pytest.approx(seen)
+    plan = I.switching_intervals(tx, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan and "explode([0,1,2,3,4,5])" not in plan
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert not [k for k in keys if "customer_id" in k and "from_product" in k]
