@@ -138,3 +138,24 @@ def test_customer_view_and_diagnostics(spark):
     assert metrics["n_customers_total"] == 160 and metrics["bgf_r"] > 0 and metrics["ggf_p"] > 0
     assert 0 <= metrics["gg_value_stationarity_pct"] <= 1 and metrics["gg_independence_status"] in (0, 1, 2)
     assert L.value_independence(tx.limit(0)).count() == 0
+
+
+def test_fits_take_gamma_functions_of_few_numbers(monkeypatch):
+    """Rows of counts grow with the calendar, numbers of purchases hardly; the loss is the same."""
+    from shelfline.operators import clv as V
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, 3000).astype(float)
+    t = rng.uniform(20, 90, 3000)
+    last, w = np.where(x > 0, t * rng.random(3000), 0.0), rng.integers(1, 5, 3000).astype(float)
+    most, plain = [], V.lgamma
+    monkeypatch.setattr(V, "lgamma", lambda v: most.append(len(v)) or plain(v))
+    p = np.array([0.1, 0.7, -0.3, 0.4])
+    r, alpha, a, b = np.exp(p)
+    like = plain(r + x) - plain(np.array([r])) + r * np.log(alpha) + plain(np.array([a + b])) + plain(b + x) - plain(np.array([b])) - plain(a + b + x)
+    gone = np.where(x > 0, np.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + last), -np.inf)
+    like = like + np.logaddexp(-(r + x) * np.log(alpha + t), gone)
+    assert V.bg_nbd_loss(p, x, last, t, w) == pytest.approx(-(w * like).sum() / w.sum() + 0.001 * (np.exp(p) ** 2).sum() / 100, rel=1e-12)
+    V.bg_nbd_of_counts(x, last, t, w)
+    V.gamma_gamma_of_counts(x[x > 0], t[x > 0], np.log(t[x > 0]), w[x > 0])
+    assert max(most) == 9
