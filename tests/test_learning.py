@@ -38,6 +38,25 @@ def test_embeddings_find_planted_groups_and_repeat(spark):
     assert all(abs(np.linalg.norm(x) - 1) < 1e-6 for x in one.values())
 
 
+def test_embeddings_of_few_products_send_sums_by_product(spark, monkeypatch):
+    """The factors are those of ALS, whose fit has no rounds; customers go to many tasks."""
+    rng = random.Random(11)
+    rows = [(f"c{c}", f"t{c}-{k % 9}", f"p{rng.randrange(3 + c % 20):02d}") for c in range(90) for k in range(1 + c % 25)]
+    rows += [(None, "t", "p01"), ("c1", "t", None), ("c2", None, "p07"), ("lonely", "t", "only")]
+    tx = spark.createDataFrame(rows, "customer_id string, transaction_id string, stockcode string")
+    fits, tasks, fit, keep = [], [], E.ALS.fit, E.cut
+    monkeypatch.setattr(E.ALS, "fit", lambda self, rows: fits.append(self.getMaxIter()) or fit(self, rows))
+    monkeypatch.setattr(E, "cut", lambda t: tasks.append(t.rdd.getNumPartitions() if "features" in t.columns else 0) or keep(t))
+    monkeypatch.setattr(E, "CUSTOMERS", 10)
+    monkeypatch.setattr(E, "STEP", 4)
+    few = {r.stockcode: r.embedding for r in E.product_embeddings(tx, dimension=6, rounds=5).collect()}
+    assert fits == [0] and max(tasks) == 10
+    monkeypatch.setattr(E, "FEW", 22)
+    many = {r.stockcode: r.embedding for r in E.product_embeddings(tx, dimension=6, rounds=5).collect()}
+    assert fits == [0, 5] and len(few) == 23 and few.keys() == many.keys()
+    assert all(np.allclose(few[p], many[p], atol=1e-5) for p in few)
+
+
 def test_survival_recovers_coefficients(spark):
     rng = np.random.default_rng(8)
     n = 6000
