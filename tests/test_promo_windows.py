@@ -52,3 +52,36 @@ def test_halo_effect(spark):
                     cell[f"{name}_orders"] += 1
     got = {(r.promo_product, r.start_date, r.halo_product): {k: r[k] for k in ("halo_revenue", "halo_orders", "base_revenue", "base_orders")} for r in df.collect()}
     assert got == want and joins_on_days(df)
+
+
+def test_lean_forms_give_what_the_full_ones_do(spark):
+    lines, promos, tx, p = made(spark)
+    # promotions of one product that overlap; a line without a price; baskets of one product
+    p = p.union(spark.createDataFrame([("a", datetime.date(2024, 1, 22), datetime.date(2024, 2, 3))], p.schema))
+    tx = tx.union(spark.createDataFrame([(datetime.datetime(2024, 1, 22), "t0", "a", "u", None, 1.0), (datetime.datetime(2024, 1, 22), "solo", "a", "u", 2.0, 1.0), (datetime.datetime(2024, 1, 22), "t1", None, "u", 2.0, 1.0)], tx.schema))
+    full = {r.promo_product: r.s for r in M.halo_effect(tx, p).groupBy("promo_product").agg(F.sum("halo_revenue").alias("s")).collect()}
+    lean = {r.promo_product: r.halo_revenue for r in M.halo_revenue(tx, p).collect()}
+    assert {k: v for k, v in lean.items() if v} == pytest.approx({k: v for k, v in full.items() if v}) and len(full) == 3
+    key = ["stockcode", "start_date", "end_date"]
+    both = M.pre_post_comparison(tx, p).join(M.pre_post_comparison(tx, p, orders=False).withColumnsRenamed({c: f"l_{c}" for c in ("treated_revenue", "control_revenue", "treated_qty", "control_qty", "lift_revenue_pct", "lift_qty_pct")}), key).collect()
+    assert len(both) == 6 and all(r[c] == pytest.approx(r[f"l_{c}"]) for r in both for c in ("treated_revenue", "control_revenue", "treated_qty", "control_qty", "lift_revenue_pct", "lift_qty_pct"))
+
+
+def test_periods_are_those_of_the_promotions(spark):
+    rng = random.Random(3)
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
+    lines = [(day(rng.randrange(120)), f"t{i}", rng.choice("abcd"), f"c{i % 9}", rng.choice([100.0, 100.0, 100.0, 90.0, 80.0]), 1.0) for i in range(500)] + [(None, "x", "a", "c", 50.0, 1.0), (day(3), "y", "a", "c", None, 1.0)]
+    tx = spark.createDataFrame(lines, "date timestamp, transaction_id string, stockcode string, customer_id string, price double, quantity double")
+    for gap in (1, 4):
+        columns = ["stockcode", "start_date", "end_date", "duration_days"]
+        want = sorted(map(tuple, M.detect_promotions(tx, gap_days=gap).select(columns).collect()))
+        assert sorted(map(tuple, M.promo_periods(tx, gap_days=gap).select(columns).collect())) == want and (len(want) > 5 or gap == 1)
+
+
+def test_decision_steps_shuffle_no_line_by_promotion(spark):
+    """Revenue meets promotions as sums by product and day; the halo shuffles lines once, by basket."""
+    _, _, tx, p = made(spark)
+    tx = tx.withColumn("category", F.lit("k"))
+    for df in (M.promo_periods(tx), M.pre_post_comparison(tx, p, orders=False), M.cannibalization(tx, p, orders=False)):
+        assert "transaction_id" not in re.sub(r"(?s)\(?Scan ExistingRDD.*?\]|LogicalRDD.*?\]", "", df._jdf.queryExecution().executedPlan().toString())
+    assert len(re.findall(r"Exchange hashpartitioning\(transaction_id", M.halo_revenue(tx, p)._jdf.queryExecution().executedPlan().toString())) == 1
