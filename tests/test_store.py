@@ -38,3 +38,19 @@ def test_shuffle_files_go_when_rows_are_written(spark):
 def test_near_broadcasts_by_rows(spark):
     assert "broadcast" in store.near(spark.range(10), 10)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in store.near(spark.range(11), 10)._jdf.queryExecution().toString().lower()
+
+
+def test_stored_lines_are_not_written_again_for_promotion_prices(spark):
+    from shelfline.plans import commercial as C
+    from shelfline.sources.lines import star_lines
+
+    folder = Path(store.shared_dir(spark).removeprefix("file://"))
+    count = lambda: len(list(folder.glob("stored-*")))
+    plain, lines = star_lines(spark, "/root/testdata/sf0.001"), store.stored(star_lines(spark, "/root/testdata/sf0.001"))
+    before = count()
+    kept = C.prices(lines)
+    assert count() == before and C.prices(lines) is kept
+    C.periods(lines)
+    assert store.known(lines, "periods") and not store.known(lines, "found") and count() == before
+    rows = lambda df: sorted(map(str, df.select("transaction_id", "price").collect()))
+    assert rows(C.prices(plain)) == rows(kept) and count() == before + 1
